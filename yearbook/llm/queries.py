@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ans import coded_tokens
 from .lines import drop_shared_lines
+from .packing import pack
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
 
@@ -26,13 +28,30 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coded_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), 2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_shared_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files, op10_line_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
