@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ans import coded_tokens
 from .lines import drop_shared_lines
 from .packing import pack
+from .simhash import near_duplicates
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
 
@@ -23,6 +24,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files, op10_line_dedup,
+        op1_substring_dedup, op2_simhash_near_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files, op10_line_dedup,
     )}
 
 
