@@ -67,3 +67,27 @@ def lines(docs, least=10):
         kept = [x for x in rows if len(key(x).decode()) < least or len(holders[key(x)]) < 2 or first[key(x)] == d]
         out.append((d, len(rows), len(rows) - len(kept), sha(b"\n".join(kept))))
     return sorted(out)
+
+
+TEST_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def benchmark(docs, items, window=10):
+    patterns = []
+    for name, t in items:
+        w = TEST_WORD.findall(lower(raw(t)))
+        patterns += [(w[i : i + window], str(name)) for i in range(max(1, len(w) - window + 1) if w else 0)]
+    by_first = defaultdict(list)
+    for p, name in patterns:
+        by_first[p[0]].append((p, name))
+    out = []
+    for d, t in docs:
+        w = TEST_WORD.findall(lower(raw(t)))
+        hit, found = set(), set()
+        for i, x in enumerate(w):
+            for p, name in by_first.get(x, ()):
+                if w[i : i + len(p)] == p:
+                    hit.update(range(i, i + len(p)))
+                    found.add(name)
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit)))
+    return sorted(out)
