@@ -25,6 +25,8 @@ GRAM, SEGMENT, CHECK = Poly(41), Poly(42), Poly(43)
 GRAM_BYTES = 32
 #: Bytes whose minimizers are found at a time; a longer text is a slice by itself.
 SLICE = 1 << 20
+#: Bytes sorted at a time; more only where the segments of one minimizer are more.
+SORTED = 1 << 20
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -257,7 +259,14 @@ def _marked(length: int):
         torn = (unsettled > 0) & (np.bincount(family) > 1)
         state = settled.astype(np.uint8)
         some: dict[int, bytes] = {}
-        if len(pick := np.flatnonzero(torn[family])):
+        torn_ones = np.flatnonzero(torn[family])
+        size_of = e["n"][heads[torn_ones]].astype(np.int64) + length - 1
+        # a family stays whole: equal strings have equal minimizers
+        edges = np.flatnonzero(np.diff(family[torn_ones], prepend=-1))
+        part = (np.cumsum(size_of) - size_of)[edges] // SORTED if len(edges) else edges
+        cut = np.append(edges[np.flatnonzero(np.diff(part, prepend=-1))], len(torn_ones))
+        for i, j in zip(cut, cut[1:]):
+            pick = torn_ones[i:j]
             n = e["n"][heads[pick]].astype(np.int64)
             raw = b"".join([d[a:b] for d, a, b in (texts[k] for k in order[heads[pick]])])
             at = np.concatenate([[0], np.cumsum(n + length - 1)])
