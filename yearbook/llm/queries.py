@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ans import coded_tokens
 from .lines import drop_shared_lines
 from .packing import pack
+from .pages import main_text
 from .patterns import contamination
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -50,6 +51,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -63,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_simhash_near_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files,
-        op9_benchmark_decontamination, op10_line_dedup,
+        op8_html_extraction, op9_benchmark_decontamination, op10_line_dedup,
     )}
 
 
