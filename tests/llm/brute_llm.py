@@ -91,3 +91,19 @@ def benchmark(docs, items, window=10):
                     found.add(name)
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit)))
     return sorted(out)
+
+
+def base_rules(docs):
+    out = []
+    for d, t in docs:
+        b = raw(t)
+        w = WORD.findall(b)
+        full = [x for x in b.split(b"\n") if WORD.search(x)]
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = set()
+        for i in range(len(w) - 4):
+            if grams[tuple(w[i : i + 5])] > 1:
+                again.update(range(i, i + 5))
+        chars = sum(len(x.decode()) for x in w)
+        out.append((d, len(w), chars, sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)))
+    return sorted(out)

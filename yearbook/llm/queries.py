@@ -12,6 +12,8 @@ from .lines import drop_shared_lines
 from .packing import pack
 from .pages import main_text
 from .patterns import contamination
+from .rulefit import held_out, learned, scored
+from .rules import quality_rules
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
@@ -31,6 +33,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,6 +58,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = scored(docs, learned(docs, table(spark, sf_dir, "labels"), "quality"), carry=("doc_id",))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -67,8 +80,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_simhash_near_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files,
-        op8_html_extraction, op9_benchmark_decontamination, op10_line_dedup,
+        op1_substring_dedup, op2_simhash_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_best_fit_packing, op6_token_files,
+        op7_quality_classifier, op8_html_extraction, op9_benchmark_decontamination, op10_line_dedup,
     )}
 
 
