@@ -1,10 +1,13 @@
 """Suffix-array dedup of byte strings by two-stage sorting.
 
 Only strings that can repeat reach the sort. Every run of `length` bytes holds
-a minimizer (the least hash of its 32-byte grams), which depends on its bytes
-alone; starts whose minimizer occurs once in the corpus are done. The rest
-travel as segments: the starts in a row that share one minimizer, with the
-bytes they reach over. Segments of one minimizer meet in one shard. Equal
+a minimizer (the least hash of its grams of half the length), which depends on
+its bytes alone. The starts in a row that share one minimizer, and lie in the
+same eighth of the length before it, all reach over the same stretch of seven
+eighths of the length: its hash is their key. Starts whose key occurs once in
+the corpus are done, and a passage that many texts share is no key unless it is
+nearly as long as the strings sought. The rest travel as segments: such starts
+with the bytes they reach over. Segments of one key meet in one shard. Equal
 segments settle each other; for those that only overlap, the shard builds a
 suffix array in two stages - suffixes smaller than their successors are sorted
 directly, all others are induced by scanning the buckets - and compares
@@ -21,11 +24,10 @@ from pyspark.sql import functions as F
 from .exchange import U64, Chunks, bits, from_bits, from_low_bytes, low_bytes, ranges, runs
 from .textbytes import Buffer, Poly, cover, texts_of
 
-GRAM, SEGMENT, CHECK = Poly(41), Poly(42), Poly(43)
-GRAM_BYTES = 32
+GRAM, SEGMENT, CHECK, KEY = Poly(41), Poly(42), Poly(43), Poly(44)
 #: Bytes whose minimizers are found at a time; a longer text is a slice by itself.
 SLICE = 1 << 20
-#: Bytes sorted at a time; more only where the segments of one minimizer are more.
+#: Bytes sorted at a time; more only where the segments of one key are more.
 SORTED = 1 << 20
 
 
@@ -155,15 +157,16 @@ def repeated_starts(text: np.ndarray, is_start: np.ndarray, length: int) -> np.n
 
 
 class _Segments:
-    """A chunk's runs of starts that share a minimizer."""
+    """A chunk's runs of starts that share a key."""
 
     def __init__(self, table: pa.Table, length: int):
         self.buffer = b = Buffer(texts_of(table["text"]))
-        found, width, i = [], length - GRAM_BYTES + 1, 0
+        gram, eighth = length // 2, length // 8
+        found, width, i = [], length - gram + 1, 0
         while i < len(b.lens):
             j = max(i + 1, int(np.searchsorted(b.ends, b.starts[i] + SLICE, "right")))
             first, last = int(b.starts[i]), int(b.ends[j - 1])
-            grams = GRAM.rolling(GRAM.table[b.data[first:last]], GRAM_BYTES)
+            grams = GRAM.rolling(GRAM.table[b.data[first:last]], gram)
             value = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
             least = (minima(value, width) & U64(0xFFFFFFFF)).astype(np.int64)
             step = np.zeros(len(least) + 1, np.int32)
@@ -173,11 +176,17 @@ class _Segments:
             np.add.at(step, at + n[n > 0], -1)
             whole = np.flatnonzero(np.cumsum(step[:-1]))  # starts with `length` bytes of their text ahead
             anchor = least[whole]
+            before = np.minimum((anchor - whole) // eighth, gram // eighth - 1)
             new = np.ones(len(whole), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1] + 1)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (before[1:] != before[:-1]) | (whole[1:] != whole[:-1] + 1)
             heads = np.flatnonzero(new)
             tails = np.append(heads[1:], len(whole))
-            found.append((whole[heads] + first, tails - heads, grams[anchor[heads]]))
+            # all windows of the run hold these bytes
+            begin = anchor[heads] - eighth * before[heads] + first
+            order = np.argsort(begin, kind="stable")
+            key = np.empty(len(begin), U64)
+            key[order] = KEY.of_spans(b.data, begin[order], begin[order] + gram + (gram // eighth - 1) * eighth)
+            found.append((whole[heads] + first, tails - heads, key))
             i = j
         cat = lambda k, kind: np.concatenate([f[k] for f in found] or [np.empty(0, kind)])
         self.at, self.n, self.key = cat(0, np.int64), cat(1, np.int64), cat(2, U64)
@@ -193,7 +202,7 @@ class _Segments:
         return k[heads] | (size > 1).astype(U64), place
 
     def hot(self, replies: dict[int, bytes], shards: int, length: int):
-        """The distinct segments whose minimizer occurs elsewhere, and each one's occurrences."""
+        """The distinct segments whose key occurs elsewhere, and each one's occurrences."""
         keys, place = self.keys()
         found = np.zeros(len(keys), bool)
         for shard, cut in ranges(keys, shards):
@@ -261,7 +270,7 @@ def _marked(length: int):
         some: dict[int, bytes] = {}
         torn_ones = np.flatnonzero(torn[family])
         size_of = e["n"][heads[torn_ones]].astype(np.int64) + length - 1
-        # a family stays whole: equal strings have equal minimizers
+        # a family stays whole: equal strings have equal keys
         edges = np.flatnonzero(np.diff(family[torn_ones], prepend=-1))
         part = (np.cumsum(size_of) - size_of)[edges] // SORTED if len(edges) else edges
         cut = np.append(edges[np.flatnonzero(np.diff(part, prepend=-1))], len(torn_ones))
@@ -301,7 +310,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     handed on and may be null or equal. Other columns are ignored; an empty
     table gives an empty result. length must be 64 or more.
     """
-    if length < 2 * GRAM_BYTES:
+    if length < 64:
         raise ValueError("length must be 64 or more")
     chunks = Chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
