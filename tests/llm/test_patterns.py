@@ -47,7 +47,7 @@ def test_empty_and_carried(spark):
     assert got(contamination(d.limit(0), i)) == []
     assert {r["n_hit"] for r in contamination(d, i.limit(0)).collect()} == {0}
     out = contamination(d, i, carry=("text", "doc_id"))
-    assert sorted((r[4] or "") for r in out.collect()) == sorted((t or "") for _, t in docs)
+    assert sorted((r["carried"]["text"] or "") for r in out.collect()) == sorted((t or "") for _, t in docs)
 
 
 def test_query(spark, sf):

@@ -64,10 +64,11 @@ class Chunks:
          .bucketBy(self.buckets, "chunk").sortBy("chunk").saveAsTable(name))
         self.table = spark.table(name)
 
-    def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None) -> DataFrame:
-        """One round. send(table, replies) gives (shard, kind, bytes) of a chunk;
-        answer(list of (chunk, kind, bytes)) gives the same triples of a shard.
-        The result has a row for each answer, written to the shared folder."""
+    def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+        """One round. send(table, replies, shards) gives (shard, kind, bytes) of a
+        chunk; answer(list of (chunk, kind, bytes)) gives (chunk, kind, bytes) of a
+        shard. Of the table, send sees the columns named, or all. The result has a
+        row for each answer, written to the shared folder."""
         shards = self.shards
 
         def cells(chunk: int, out) -> pa.Table:
@@ -80,12 +81,13 @@ class Chunks:
             rows = list(answer(got))
             return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=SCHEMA)
 
-        return written(self.apply(lambda chunk, t, r: cells(chunk, send(t, r, shards)), CELLS, replies).groupBy("shard").applyInArrow(shard, CELLS))
+        return written(self.apply(lambda chunk, t, r: cells(chunk, send(t, r, shards)), CELLS, replies, columns).groupBy("shard").applyInArrow(shard, CELLS))
 
-    def apply(self, f: Callable, schema: str, replies: DataFrame | None = None) -> DataFrame:
+    def apply(self, f: Callable, schema: str, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
         """f(chunk, table, replies) for each chunk; replies: {kind: {shard: bytes}}."""
+        table = self.table.select("chunk", *columns) if columns else self.table
         if replies is None:
-            return self.table.groupBy("chunk").applyInArrow(lambda key, t: f(key[0].as_py(), t, {}), schema)
+            return table.groupBy("chunk").applyInArrow(lambda key, t: f(key[0].as_py(), t, {}), schema)
 
         def both(key, t: pa.Table, r: pa.Table) -> pa.Table:
             got: dict[int, dict[int, bytes]] = {}
@@ -93,7 +95,7 @@ class Chunks:
                 got.setdefault(kind, {})[shard] = payload
             return f(key[0].as_py(), t, got)
 
-        return self.table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
+        return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def cuts(ascending: np.ndarray, shards: int) -> np.ndarray:

@@ -130,7 +130,7 @@ def _own(entries: np.ndarray) -> np.ndarray:
     return entries["key"] ^ mix(entries["print"].astype(U64))
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop each line whose key occurs in a document with a smaller id.
 
     Lines are split at newlines; a key is the line without white space
@@ -140,16 +140,18 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     newlines). A null or empty text is one empty line and becomes an empty
     text; all lines of the document with the smallest id stay, repeated ones
     too; rows with equal ids keep each other's lines; a null id counts as the
-    largest. Other columns are ignored; an empty table gives an empty result.
+    largest. The columns named in carry follow in a struct `carried`, unchanged;
+    others are ignored; an empty table gives an empty result.
     """
-    chunks = Chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    carried = F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried")
+    chunks = Chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried))
 
     def probes(table, replies, shards):
         entries = _Lines(table, least).entries
         for shard, cut in ranges(entries["key"], shards):
             yield shard, 1, entries[cut].tobytes()
 
-    found, shards = chunks.ask(probes, _probed), chunks.shards
+    found, shards = chunks.ask(probes, _probed, columns=("doc_id", "text")), chunks.shards
 
     def dropped(chunk, table, replies):
         lines = _Lines(table, least)
@@ -163,9 +165,10 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keep[lines.at[lines.doc > first[lines.group]]] = False
         lo, hi = np.searchsorted(lines.ends, lines.buffer.starts, "left"), np.searchsorted(lines.ends, lines.buffer.ends, "right")
         total = np.concatenate([[0], np.cumsum(~keep)])
-        return pa.table({"doc_id": table["doc_id"], "n_lines": pa.array(hi - lo, pa.int64()), "n_dropped": pa.array(total[hi] - total[lo], pa.int64()), "text": pa.array(_joined(lines, keep), pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": table["doc_id"], "n_lines": pa.array(hi - lo, pa.int64()), "n_dropped": pa.array(total[hi] - total[lo], pa.int64()), "text": pa.array(_joined(lines, keep), pa.binary()).cast(pa.string()), "carried": table["carried"]})
 
-    return chunks.apply(dropped, "doc_id long, n_lines long, n_dropped long, text string", found)
+    kind = chunks.table.schema["carried"].dataType.simpleString()
+    return chunks.apply(dropped, f"doc_id long, n_lines long, n_dropped long, text string, carried {kind}", found)
 
 
 def _joined(lines: _Lines, keep: np.ndarray) -> list[bytes]:

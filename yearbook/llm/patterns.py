@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     fewer words is one window, one of none has no window. Returns doc_id,
     n_words, n_hit (words inside any occurrence of a window) and items (ids of
     items with occurring windows, as strings, sorted), then the columns named
-    in carry. A null text has no words; a null item id counts as an empty one;
+    in carry, in a struct `carried`. A null text has no words; a null item id counts as an empty one;
     items with equal ids count as one; repeated rows are all searched. The
     items are read in parts of about item_bytes, one pass over the documents
     each, so their number is not bounded by memory; any number of documents,
@@ -219,5 +219,4 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), rows.column(3), rows.column(4)], names=["doc_id", "n_words", "n_hit", "items", "_carry"])
 
     carried = next(f.dataType for f in now.schema if f.name == "_carry")
-    out = now.mapInArrow(count_hits, f"doc_id long, n_words long, n_hit long, items array<string>, _carry {carried.simpleString()}")
-    return out.select("doc_id", "n_words", "n_hit", "items", *(F.col(f"_carry.`{c}`") for c in carry))
+    return now.mapInArrow(count_hits, f"doc_id long, n_words long, n_hit long, items array<string>, _carry {carried.simpleString()}").withColumnRenamed("_carry", "carried")

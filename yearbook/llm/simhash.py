@@ -156,8 +156,9 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (long) of every whole text.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (long) and the struct `carried`, of the columns named
+    in carry, of every whole text.
 
     Words are lower-cased (A-Z) runs of bytes other than space and 0x09-0x0D;
     shingles are k words joined by a space, repeats included; a text of fewer
@@ -168,9 +169,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = texts_of(batch.column(1))
             for cut in groups(texts, 1 << 21):
-                yield pa.record_batch({"doc_id": batch.column(0)[cut.start : cut.stop], "fingerprint": pa.array(of_texts(texts[cut], k, seed).view(np.int64))})
+                yield pa.record_batch({"doc_id": batch.column(0)[cut.start : cut.stop], "fingerprint": pa.array(of_texts(texts[cut], k, seed).view(np.int64)), "carried": batch.column(2)[cut.start : cut.stop]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(prints, "doc_id long, fingerprint long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
+    return source.mapInArrow(prints, f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")
 
 
 def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
@@ -239,6 +241,13 @@ def links(classes: DataFrame, most: int = 4) -> DataFrame:
     return classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary").groupBy("shard").applyInArrow(link, "a long, b long")
 
 
+def grouped(prints: DataFrame, most: int) -> DataFrame:
+    """(fingerprint, root): for each distinct fingerprint the least one that links lead to."""
+    classes = written(prints.select("fingerprint").distinct())
+    root = components(links(classes, most))
+    return classes.join(root, classes["fingerprint"] == root["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """doc_id, fingerprint (long) and component_id of every document.
 
@@ -249,10 +258,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one; null ids are never a component's, unless it has no other. Other
     columns are ignored; an empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col))
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    root = components(links(classes, most))
-    placed = classes.join(root, classes["fingerprint"] == root["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    prints = written(fingerprints(docs, id_col, text_col).drop("carried"))
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    placed = written(grouped(prints, most).join(least, "fingerprint"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "root").select("fingerprint", "component_id")
     return prints.join(ids, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
+    """The rows of docs, all columns, but of each group of near duplicates only the one with the smallest id.
+
+    A row with an id goes before one without; of rows with equal ids any one
+    stays. See near_duplicates for what links."""
+    prints = fingerprints(docs, id_col, text_col, carry=tuple(docs.columns))
+    rows = written(prints.withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    least = rows.groupBy("fingerprint").agg(first)
+    chosen = grouped(rows, most).join(least, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(chosen, "row", "left_semi").select(*(F.col(f"carried.`{c}`") for c in docs.columns))
