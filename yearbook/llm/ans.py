@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .exchange import U64, shared_dir, shuffle_partitions, written
 from .textbytes import texts_of
-from .tokens import encoder, groups
+from .tokens import encoder, groups, tokenizer
 
 LANES, CHECKPOINT = 1024, 64
 #: Ids of a block, at least (but for a file's last); a longer document is a block by itself.
@@ -94,14 +94,19 @@ class Table:
         return out[row * LANES :]
 
 
-def counted(tokens: DataFrame) -> np.ndarray:
+def id_type(path: str) -> str:
+    """How ids travel between stages: in two bytes where the vocabulary allows it."""
+    return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def counted(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs, over all rows: as many numbers as the vocabulary has."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for data in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(data, "<u4"))
+                c = np.bincount(np.frombuffer(data, kind))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
@@ -118,21 +123,22 @@ def counted(tokens: DataFrame) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every whole text, the end id last."""
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    """doc_id and ids (of id_type) of every whole text, the end id last."""
+    kind = np.dtype(id_type(path))
+    tail = b"" if end_id is None else int(end_id).to_bytes(kind.itemsize, "little")
 
     def encode(batches):
         for batch in batches:
             texts, ids = texts_of(batch.column(1)), batch.column(0)
             for cut in groups(texts):
                 got, n = encoder(path).encode(texts[cut])
-                data, at = got.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n * 4)]).tolist()
+                data, at = got.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(n * kind.itemsize)]).tolist()
                 yield pa.record_batch({"doc_id": ids[cut.start : cut.stop], "ids": pa.array([data[a:b] + tail for a, b in zip(at, at[1:])], pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, path_of_tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the coded ids of all documents, in ascending doc_id order, to `path`.
 
     `path`/blocks has the blocks (see BLOCKS), `path`/table the counts. A null
@@ -140,9 +146,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     rows with equal ids come in any order. Other columns are not kept; of an
     empty table only an empty file and table are written.
     """
-    spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer, end_id, id_col, text_col))
-    counts = counted(tokens)
+    spark, kind = docs.sparkSession, id_type(path_of_tokenizer)
+    tokens = written(tokenized(docs, path_of_tokenizer, end_id, id_col, text_col))
+    counts = counted(tokens, kind)
+    wide = np.dtype(kind).itemsize
     spark.createDataFrame([(json.dumps({int(i): int(counts[i]) for i in np.flatnonzero(counts)}),)], "counts string").coalesce(1).write.parquet(f"{path}/table")
     table = Table(counts)
 
@@ -151,10 +158,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         state = {"block": 0, "first": 0, "size": 0, "file": 0}
 
         def block():
-            ids = b"".join(x for _, x in held)
-            states, points, stream = table.encode(np.frombuffer(ids, "<u4"))
-            n = len(ids) // 4
-            row = {"file": [state["file"]], "block": [state["block"]], "first": [state["first"]], "n": [n], "crc32": [zlib.crc32(ids)], "doc_ids": [[d for d, _ in held]], "lengths": [[len(x) // 4 for _, x in held]], "states": [states], "checkpoints": [points], "stream": [stream]}
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
+            states, points, stream = table.encode(ids)
+            n = len(ids)
+            row = {"file": [state["file"]], "block": [state["block"]], "first": [state["first"]], "n": [n], "crc32": [zlib.crc32(ids.astype("<u4").tobytes())], "doc_ids": [[d for d, _ in held]], "lengths": [[len(x) // wide for _, x in held]], "states": [states], "checkpoints": [points], "stream": [stream]}
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             state.update(block=state["block"] + 1, first=state["first"] + n, size=0)
             held.clear()
@@ -164,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             for doc, ids, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 state["file"] = file
                 held.append((doc, ids))
-                state["size"] += len(ids) // 4
+                state["size"] += len(ids) // wide
                 if state["size"] >= BLOCK_IDS:
                     yield block()
         if held:
@@ -204,8 +211,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("file", "block", "first", "n", "crc32", "doc_ids", "lengths", "states", "stream").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def coded_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def coded_tokens(docs: DataFrame, path_of_tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Write the files (to a new shared folder unless given) and read them back."""
     path = path or shared_dir(docs.sparkSession)
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, path_of_tokenizer, end_id)
     return read_tokens(docs.sparkSession, path)
