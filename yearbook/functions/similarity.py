@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -34,13 +35,13 @@ def token_sort_ratio(a: str | None, b: str | None) -> float:
     return ratio(token_sort(a), token_sort(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """ratio() of names whose words are sorted already."""
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def python_round1(x: pd.Series) -> pd.Series:
     """To one place, by the exact value of the double; ties to even."""
     return x.map(lambda v: None if pd.isna(v) else round(v, 1))

@@ -1 +1 @@
-
+"""Incremental processing, beyond what the declarations need."""
