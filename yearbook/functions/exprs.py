@@ -62,9 +62,8 @@ def blank_to_null(text: Column) -> Column:
 
 
 def to_bool(text: Column) -> Column:
-    """true, 1, yes / false, 0, no in any case; all else unknown."""
-    low = F.lower(F.trim(text))
-    return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)
+    """As a loader of text reads it; other spellings are unknown."""
+    return F.when(text.isin("True", "true", "1", "yes"), True).when(text.isin("False", "false", "0", "no"), False)
 
 
 def to_int(text: Column) -> Column:
@@ -117,10 +116,10 @@ def address_variants(address: Column, city: Column) -> Column:
     return F.array_distinct(F.concat(some, alone))
 
 
-def geocode_query(address: Column, city: Column, country: Column) -> Column:
-    """The parts that there are, joined by commas; the city only if the address does not name it."""
-    named = F.coalesce(F.lower(address).contains(F.lower(city)), F.lit(False))
-    return F.concat_ws(", ", F.nullif(address, F.lit("")), F.when(~named, F.nullif(city, F.lit(""))), F.nullif(country, F.lit("")))
+def geocode_query(address: Column, city: Column, code: Column) -> Column:
+    """Address, city and two-letter country code, as far as there are; null without the first two."""
+    parts = F.concat_ws(", ", F.nullif(address, F.lit("")), F.nullif(city, F.lit("")))
+    return F.when(parts != "", F.concat_ws(", ", parts, F.upper(F.nullif(code, F.lit("")))))
 
 
 def geocode_confidence(importance: Column) -> Column:

@@ -62,9 +62,10 @@ def notable_changes(t, min_years: int = 3, most: int = 200) -> DataFrame:
         _change((old_level != "") & (level != "") & (old_level != level), "containment_change", F.concat(F.lit("Containment level changed: "), old_level, F.lit(" → "), level), "high", 4, from_level=old_level, to_level=level),
     ))
     found = paired.select("canonical_facility_id", F.col("last.facility_name").alias("record_name"), F.col("last.country_iso3").alias("country_iso3"), F.col("old.year").alias("from_year"), F.col("year").alias("to_year"), "years_on_record", "document_id", "id", F.explode(changes).alias("c"))
-    top = found.orderBy(severity_rank(F.col("c.severity")), F.desc("to_year"), "canonical_facility_id", "from_year", "document_id", "id", "c.place").limit(most)
+    ranking = (severity_rank(F.col("c.severity")), F.desc("to_year"), "canonical_facility_id", "from_year", "document_id", "id", "c.place")
+    top = found.orderBy(*ranking).limit(most)
     named = with_country_name(top.join(t.facilities.select("canonical_facility_id", "canonical_name"), "canonical_facility_id"), t.documents)
-    return named.select("canonical_facility_id", F.coalesce("canonical_name", "record_name").alias("facility_name"), "country_iso3", "country_name", "from_year", "to_year", "years_on_record", "c.type", "c.label", "c.severity", "c.delta_pct", "c.from_m2", "c.to_m2", "c.from_level", "c.to_level")
+    return named.orderBy(*ranking).select("canonical_facility_id", F.coalesce("canonical_name", "record_name").alias("facility_name"), "country_iso3", "country_name", "from_year", "to_year", "years_on_record", "c.type", "c.label", "c.severity", "c.delta_pct", "c.from_m2", "c.to_m2", "c.from_level", "c.to_level")
 
 
 def facility_diffs(t, facility_id: str) -> DataFrame:

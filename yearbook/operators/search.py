@@ -29,7 +29,8 @@ def search(t, q: str, most: int = 20) -> DataFrame:
     every = a1.unionByName(g).unionByName(a2)
     cols = ("id", "name", "country_iso3", "latest_containment", "years_declared", "layer", "country_name", "match_type", "activity_snippet")
     # names join after the limit: at most `most` rows need one
-    top = every.orderBy(F.col("name").asc_nulls_last(), "layer", F.col("id").asc_nulls_last(), "country_iso3").limit(most)
-    return top.join(country_names(t.documents), "country_iso3", "left").select(*cols)
+    ranking = (F.col("name").asc_nulls_last(), "layer", F.col("id").asc_nulls_last(), "country_iso3")
+    top = every.orderBy(*ranking).limit(most)
+    return top.join(country_names(t.documents), "country_iso3", "left").orderBy(*ranking).select(*cols)
 
 

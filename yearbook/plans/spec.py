@@ -16,7 +16,7 @@ from ..operators.lookups import CATEGORIES
 from ..operators.summaries import FORMS
 
 #: Words that a question's terms may not hold.
-BLOCKED = ("drop", "delete", "insert", "update", "alter", "truncate", "union", "select", "--", ";")
+BLOCKED = ("union", "select", "insert", "update", "delete", "drop", "--", "/*", "*/")
 TYPES = ("facility_search", "submission_history", "country_overview", "comparative", "legislation", "defence_programmes", "aggregate_stats")
 MEASURES = ("legislation", "regulations", "other_measures")
 HELP = "Ask about facilities, submissions, a country, a comparison, legislation, defence programmes or totals."
@@ -39,9 +39,9 @@ class QuerySpec:
 
 
 def terms(values: Iterable | None, most: int = 10) -> tuple[str, ...]:
-    """Texts of up to 100 characters without blocked words, at most ten."""
-    some = [str(v).strip() for v in values or () if isinstance(v, str) and 0 < len(v.strip()) <= 100]
-    return tuple(v for v in some if not any(w in v.lower() for w in BLOCKED))[:most]
+    """The texts of the first ten values, cut to 100 characters, without those that hold a blocked word."""
+    some = [v[:100] for v in list(values or ())[:most] if isinstance(v, str)]
+    return tuple(v for v in some if not any(w in v.lower() for w in BLOCKED))
 
 
 def codes(values: Iterable | None) -> tuple[str, ...]:
@@ -100,7 +100,7 @@ def facility_search(t, spec: QuerySpec) -> DataFrame:
                 some = some.where(contains(F.col("canonical_name"), word))
             some = some.select(F.col(key).alias("id"), F.col("canonical_name").alias("name"), "country_iso3", none.alias("latest_containment"), year_span(F.col("first_year"), F.col("last_year")).alias("years_declared"), F.lit(layer).alias("layer"))
             parts.append(some.orderBy(F.col("name").asc_nulls_last(), "id").limit(20))
-    return with_country_name(reduce(lambda a, b: a.unionByName(b), parts), t.documents).select("id", "name", "country_iso3", "latest_containment", "years_declared", "layer", "country_name")
+    return with_country_name(reduce(lambda a, b: a.unionByName(b), parts), t.documents).orderBy("layer", F.col("name").asc_nulls_last(), "id").select("id", "name", "country_iso3", "latest_containment", "years_declared", "layer", "country_name")
 
 
 def submission_history(t, spec: QuerySpec) -> DataFrame:
@@ -152,7 +152,7 @@ def comparative(t, spec: QuerySpec) -> DataFrame:
         counts, order = some.join(documents, "document_id").groupBy("country_iso3").agg(F.count("*").alias("count")), [F.desc("count")]
     else:
         counts, order = _among(t.facilities, spec).groupBy("country_iso3").agg(F.count_distinct("canonical_facility_id").alias("count")), [F.desc("count")]
-    return with_country_name(counts.orderBy(*order, "country_iso3").limit(10), t.documents)
+    return with_country_name(counts.orderBy(*order, "country_iso3").limit(10), t.documents).orderBy(*order, "country_iso3")
 
 
 def legislation(t, spec: QuerySpec) -> DataFrame:
@@ -197,10 +197,10 @@ def aggregate_stats(t, spec: QuerySpec) -> DataFrame:
         if area:
             sums = t.facility_years.groupBy("canonical_facility_id").agg(F.sum(area).alias("area"))
             counts = some.join(sums, "canonical_facility_id", "left").groupBy("country_iso3").agg(F.count("*").alias("facility_count"), F.sum("area").cast("double").alias("total_area_m2"))
-            top = counts.orderBy(F.desc_nulls_last("total_area_m2"), "country_iso3").limit(15)
+            order = F.desc_nulls_last("total_area_m2")
         else:
-            top = some.groupBy("country_iso3").agg(F.count("*").alias("facility_count")).orderBy(F.desc("facility_count"), "country_iso3").limit(15)
-        return with_country_name(top, t.documents)
+            counts, order = some.groupBy("country_iso3").agg(F.count("*").alias("facility_count")), F.desc("facility_count")
+        return with_country_name(counts.orderBy(order, "country_iso3").limit(15), t.documents).orderBy(order, "country_iso3")
     if spec.forms:
         documents = _among(t.documents, replace(spec, countries=()), years=True).select(F.col("id").alias("document_id"), "country_iso3")
         some = t.form_compliance.where(F.col("form").isin(*spec.forms) & (F.col("status") == "substantive")).join(documents, "document_id")

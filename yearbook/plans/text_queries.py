@@ -25,7 +25,7 @@ query("organism_tokens", "SELECT p_partkey, array_to_string(CASE WHEN len(p_type
 )
 query("slugs", "SELECT s_suppkey, concat('the-', replace(lower(s_name), '#', '-'), '-x') AS slug FROM supplier")(lambda t: t._table("supplier").select("s_suppkey", X.slug(F.concat(F.lit("--The "), "s_name", F.lit(" / x!"))).alias("slug")))
 query("coercions", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN true WHEN o_orderstatus = 'O' THEN false END AS flag, CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey AS INT) END AS number, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders""")(
-    lambda t: t._table("orders").select("o_orderkey", X.to_bool(F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "O", " 0").otherwise("maybe")).alias("flag"),
+    lambda t: t._table("orders").select("o_orderkey", X.to_bool(F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "0").otherwise("Yes")).alias("flag"),
         X.to_int(F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey").cast("string")).otherwise("1.0")).alias("number"), X.to_double(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("string")).otherwise(" ")).alias("price"))
 )
 query("address_variants", "SELECT s_suppkey, concat('Institute, 5 Road, City|5 Road, City|', s_name) AS variants FROM supplier")(

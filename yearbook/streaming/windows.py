@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Number and sum of values by window and type. Of a stream, events later than `late` are dropped by the watermark."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     sums = source.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
     return sums.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
