@@ -14,8 +14,9 @@ from yearbook.functions.similarity import common_subsequence, token_sort_ratio
 from yearbook.operators import changes as C
 from yearbook.operators import mutate as M
 from yearbook.operators import summaries as S
+from yearbook.operators.graph import components
 from yearbook.operators.latest import country_names, first_per_group
-from yearbook.operators.resolve import components, resolve_entities
+from yearbook.operators.resolve import resolve_entities
 from yearbook.operators.search import search
 
 YEARS = "id long, canonical_facility_id string, document_id string, country_iso3 string, year int, facility_name string, has_bsl4 boolean, bsl4_area_m2 decimal(10,2), has_bsl3 boolean, bsl3_area_m2 decimal(10,2), highest_containment string, mod_funded boolean, agents_summary string"
