@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from yearbook.llm import queries as Q
-from yearbook.llm.graph import components
 from yearbook.llm.simhash import codewords, keys_of, linked, near_duplicates
 from yearbook.llm.xxh import xxh64
 
@@ -77,18 +76,6 @@ def test_no_link_is_lost():
     assert {*zip(a.tolist(), b.tolist())} == {(max(p), min(p)) for p in zip(x, y)}
 
 
-def test_components(spark):
-    r = random.Random(4)
-    edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(30)] + [(7, 7), (201, 200), (200, 201)]
-    parent = {x: x for e in edges if e[0] != e[1] for x in e}
-    for _ in range(200):
-        for a, b in edges:
-            if a != b:
-                parent[a] = parent[b] = min(parent[a], parent[b])
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert sorted((x["node"], x["root"]) for x in got) == sorted(parent.items())
-
-
 def test_odd_texts(spark):
     r = random.Random(6)
     base = [f"W{r.randrange(500)}" for _ in range(400)]

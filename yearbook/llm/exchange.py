@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
 U64 = np.uint64
 CELLS = "chunk long, shard int, kind int, payload binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -25,26 +27,6 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.in
 CHUNK_ROWS = 2048
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, as in tests, the session's warehouse serves and is
-    set as the checkpoint folder too."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/yearbook-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends here."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
-from .graph import components
 from .textbytes import LOWER, Buffer, mix, texts_of, words_of
 from .tokens import groups
 from .xxh import xxh64
