@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import U64, shared_dir, shuffle_partitions, written
-from .textbytes import texts_of
-from .tokens import encoder, groups, tokenizer
+from .textbytes import parts
+from .tokens import encoder, tokenizer
 
 LANES, CHECKPOINT = 1024, 64
 #: Ids of a block, at least (but for a file's last); a longer document is a block by itself.
@@ -129,11 +129,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, id_col: str, text_
 
     def encode(batches):
         for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0)
-            for cut in groups(texts):
-                got, n = encoder(path).encode(texts[cut])
+            for rows, texts in parts(batch, 1):
+                got, n = encoder(path).encode(texts)
                 data, at = got.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(n * kind.itemsize)]).tolist()
-                yield pa.record_batch({"doc_id": ids[cut.start : cut.stop], "ids": pa.array([data[a:b] + tail for a, b in zip(at, at[1:])], pa.binary())})
+                yield pa.record_batch({"doc_id": rows.column(0), "ids": pa.array([data[a:b] + tail for a, b in zip(at, at[1:])], pa.binary())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 

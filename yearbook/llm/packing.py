@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import written
-from .textbytes import texts_of
-from .tokens import encoder, groups
+from .textbytes import parts
+from .tokens import encoder
 
 Bins = dict[tuple[int, ...], int]
 
@@ -158,12 +158,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str,
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            texts, docs = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for some in groups(texts):
-                ids, n = encoder(tokenizer).encode(texts[some])
+            for some, texts in parts(batch, 1):
+                ids, n = encoder(tokenizer).encode(texts)
                 at = np.concatenate([[0], np.cumsum(n)]).tolist()
                 rows = []
-                for doc, a, b in zip(docs[some], at, at[1:]):
+                for doc, a, b in zip(some.column(0).to_pylist(), at, at[1:]):
                     own = np.concatenate([ids[a:b], tail]).astype("<u4")
                     for piece, start in enumerate(range(0, len(own), size)):
                         data = own[start : start + size]

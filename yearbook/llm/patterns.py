@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .exchange import U64
 from .simhash import _spread
-from .textbytes import LOWER, Buffer, byte_set, cover, spans, texts_of
-from .tokens import groups
+from .textbytes import LOWER, Buffer, byte_set, cover, spans
+from .textbytes import parts as batch_parts
 
 #: Bytes between words, once A-Z is lower-cased.
 GAP = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -189,10 +189,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         def scan(batches, searcher=searcher):
             for batch in batches:
-                texts = texts_of(batch.column(1))
-                for cut in groups(texts, 1 << 21):
-                    laid, first, count, doc, names = searcher.value.search(texts[cut])
-                    rows = batch.slice(cut.start, cut.stop - cut.start)
+                for rows, texts in batch_parts(batch, 1):
+                    laid, first, count, doc, names = searcher.value.search(texts)
                     runs, found = rows.column(2).to_pylist(), rows.column(3).to_pylist()
                     order = np.argsort(doc, kind="stable")
                     heads = np.flatnonzero(np.diff(doc[order], prepend=-1))
@@ -207,10 +205,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def count_hits(batches):
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for cut in groups(texts, 1 << 21):
-                rows = batch.slice(cut.start, cut.stop - cut.start)
-                laid = Laid(texts[cut])
+            for rows, texts in batch_parts(batch, 1):
+                laid = Laid(texts)
                 n = laid.last - laid.first
                 hit = []
                 for own, words in zip(rows.column(2).to_pylist(), n.tolist()):

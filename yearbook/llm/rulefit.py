@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import BASE, MORE, Texts
-from .textbytes import texts_of
-from .tokens import groups
+from .textbytes import parts
 
 #: Labelled rows that a model is fitted on, at most about so many.
 FIT_ROWS = 20_000
@@ -44,10 +43,9 @@ def with_features(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...
 
     def measure(batches):
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for cut in groups(texts, 2 << 20):
-                x = features(texts[cut])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(cut.start, cut.stop - cut.start), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["carried", *FEATURES])
+            for rows, texts in parts(batch, 0):
+                x = features(texts)
+                yield pa.RecordBatch.from_arrays([rows.column(1), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["carried", *FEATURES])
 
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
     return source.mapInArrow(measure, f"carried {source.schema['carried'].dataType.simpleString()}, {', '.join(f'{n} double' for n in FEATURES)}")

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stats import BASE, Texts
-from .textbytes import texts_of
-from .tokens import groups
+from .textbytes import parts
 
 Rule = Callable[[Texts], np.ndarray]
 
@@ -47,11 +46,10 @@ def measured(docs: DataFrame, text_col: str, rules: dict[str, Rule], sample: int
 
     def measure(batches):
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for cut in groups(texts):
+            for _, texts in parts(batch, 0):
                 rows = []
                 for name, rule in rules.items():
-                    fresh = Texts(texts[cut])
+                    fresh = Texts(texts)
                     _ = fresh.bounds  # the base has found the words already
                     began = time.perf_counter()
                     rejected = int(np.asarray(rule(fresh)).sum())
@@ -98,9 +96,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def judge(batches):
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for cut in groups(texts, 2 << 20):
-                own = texts[cut]
+            for some, own in parts(batch, 1):
                 group = Texts(own)
                 base = {name: getattr(group, name)() for name in BASE}
                 failed = base_failed(base)
@@ -111,7 +107,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names[passed[i]] = order[by[i]]
                 kept = ~failed
                 kept[passed[by >= 0]] = False
-                yield pa.RecordBatch.from_arrays([batch.column(0)[cut.start : cut.stop], *(pa.array(v, pa.int64()) for v in base.values()), pa.array(failed), pa.array(names, pa.string()), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "rejected_by", "kept"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(v, pa.int64()) for v in base.values()), pa.array(failed), pa.array(names, pa.string()), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "rejected_by", "kept"])
 
     schema = f"doc_id long, {', '.join(f'{n} long' for n in BASE)}, base_failed boolean, rejected_by string, kept boolean"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, schema)

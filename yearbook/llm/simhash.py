@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
-from .textbytes import LOWER, Buffer, mix, texts_of, words_of
-from .tokens import groups
+from .textbytes import LOWER, Buffer, mix, parts, words_of
 from .xxh import xxh64
 
 SEGMENTS = (22, 21, 21)
@@ -71,11 +70,11 @@ def codewords(segment: np.ndarray) -> np.ndarray:
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed keys and the fingerprints' places; bit 0 is set in keys that only probe."""
-    parts, shift = [], 0
+    values, shift = [], 0
     for bits in SEGMENTS:
-        parts.append(((prints >> U64(shift)) & U64((1 << bits) - 1)).astype(np.int64))
+        values.append(((prints >> U64(shift)) & U64((1 << bits) - 1)).astype(np.int64))
         shift += bits
-    near = [codewords(p) for p in parts]
+    near = [codewords(v) for v in values]
     place = np.arange(len(prints))
     keys, places, probes = [], [], []
 
@@ -87,7 +86,7 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(3):
         for j in range(3):
             if i != j:
-                add(((i * 3 + j) << 40) | (parts[i][:, None] << 12) | near[j], near[j] >= 0, 0)
+                add(((i * 3 + j) << 40) | (values[i][:, None] << 12) | near[j], near[j] >= 0, 0)
     a, b, c = near
     triple = lambda x, y, z: (9 << 40) | (x[:, :, None, None] << 24) | (y[:, None, :, None] << 12) | z[:, None, None, :]
     good = lambda x, y, z: (x >= 0)[:, :, None, None] & (y >= 0)[:, None, :, None] & (z >= 0)[:, None, None, :]
@@ -167,9 +166,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def prints(batches):
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for cut in groups(texts, 1 << 21):
-                yield pa.record_batch({"doc_id": batch.column(0)[cut.start : cut.stop], "fingerprint": pa.array(of_texts(texts[cut], k, seed).view(np.int64)), "carried": batch.column(2)[cut.start : cut.stop]})
+            for rows, texts in parts(batch, 1):
+                yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(of_texts(texts, k, seed).view(np.int64)), "carried": rows.column(2)})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
     return source.mapInArrow(prints, f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")

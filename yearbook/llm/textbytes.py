@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes hashed at a time: bounds the 8-byte temporaries whatever the group's size.
-BLOCK = 1 << 20
+#: Bytes hashed at a time: bounds the 8-byte temporaries, and the tables of powers that each worker keeps.
+BLOCK = 1 << 16
 #: Spans of up to so many bytes are hashed by whole words, longer ones by prefix sums.
 SHORT = 32
 #: Masks for the first 0 to 8 bytes of a little-endian word.
@@ -41,6 +41,18 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
+    """(rows, texts) of a batch, about `most` bytes of text at a time; a longer text is one part."""
+    lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lens)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        rows = batch.slice(i, j - i)
+        yield rows, texts_of(rows.column(column))
+        i = j
+
+
 class Buffer:
     """Texts laid end to end, a newline after each."""
 
@@ -88,18 +100,23 @@ class Poly:
         self.inverse = pow(self.base, -1, 2**64)
         self.powers, self.inverses = np.ones(1, U64), np.ones(1, U64)
 
-    def upto(self, n: int) -> None:
-        while len(self.powers) < n:
-            k = len(self.powers)
-            self.powers = np.concatenate([self.powers, self.powers * U64(pow(self.base, k, 2**64))])
-            self.inverses = np.concatenate([self.inverses, self.inverses * U64(pow(self.inverse, k, 2**64))])
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of values times powers, one longer than values."""
-        self.upto(len(values) + 1)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """n powers and inverses at least; only as many as a block needs are kept."""
+        powers, inverses = self.powers, self.inverses
+        while len(powers) < n:
+            k = len(powers)
+            powers = np.concatenate([powers, powers * U64(pow(self.base, k, 2**64))])
+            inverses = np.concatenate([inverses, inverses * U64(pow(self.inverse, k, 2**64))])
+        if n <= 2 * BLOCK:
+            self.powers, self.inverses = powers, inverses
+        return powers, inverses
+
+    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of values times powers, one longer than values; and the inverses."""
+        powers, inverses = self.upto(len(values) + 1)
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
-        return out
+        np.cumsum(values * powers[: len(values)], out=out[1:])
+        return out, inverses
 
     def of_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each span's bytes; starts and ends ascend."""
@@ -136,9 +153,9 @@ class Poly:
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
             first, last = int(starts[i]), int(ends[j - 1])
-            total = self.sums(self.table[data[first:last]])
+            total, inverses = self.sums(self.table[data[first:last]])
             s, e = starts[i:j] - first, ends[i:j] - first
-            out[i:j] = (total[e] - total[s]) * self.inverses[s]
+            out[i:j] = (total[e] - total[s]) * inverses[s]
             i = j
         return mix(out)
 
@@ -150,8 +167,8 @@ class Poly:
         out = np.empty(n, U64)
         for i in range(0, n, BLOCK):
             j = min(n, i + BLOCK)
-            total = self.sums(values[i : j + k - 1])
-            out[i:j] = (total[k:] - total[:-k]) * self.inverses[: j - i]
+            total, inverses = self.sums(values[i : j + k - 1])
+            out[i:j] = (total[k:] - total[:-k]) * inverses[: j - i]
         return mix(out)
 
 

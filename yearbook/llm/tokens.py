@@ -21,7 +21,7 @@ from .textbytes import LOWER, SPACE, Buffer, Poly, byte_set, spans
 
 PIECE = Poly(61)
 #: Pieces a worker keeps at most; it then starts anew.
-KEPT = 1_000_000
+KEPT = 500_000
 LETTER = byte_set((0x61, 0x7A))
 ODD = byte_set((0x27, 0x27), (0x3C, 0x3C), (0x80, 0xFF))
 
@@ -143,15 +143,3 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's encoder: what it has learned serves all its tasks."""
     return Encoder(path)
-
-
-def groups(texts: list[bytes], most: int = 4 << 20):
-    """Slices of texts of about `most` bytes; a longer text is one by itself."""
-    i = size = 0
-    for j, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(i, j)
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield slice(i, len(texts))
