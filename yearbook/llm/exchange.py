@@ -45,6 +45,8 @@ class Chunks:
         (dealt.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark))
          .bucketBy(self.buckets, "chunk").sortBy("chunk").saveAsTable(name))
         self.table = spark.table(name)
+        # the plan knows its files and buckets; the external files stay
+        spark.sql(f"DROP TABLE {name}")
 
     def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
         """One round. send(table, replies, shards) gives (shard, kind, bytes) of a

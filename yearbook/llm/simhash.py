@@ -125,7 +125,7 @@ def linked(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray,
     index = np.add.reduceat((keys & U64(1) == 0).astype(np.int64), heads) if len(heads) else size
     # in a run, index entries come first: each is compared with all that follow it
     live = (size > 1) & (index > 0)
-    first = np.concatenate([np.arange(h, h + n) for h, n in zip(heads[live].tolist(), index[live].tolist())] or [np.empty(0, np.int64)]) if live.sum() < 1000 else _spread(heads[live], index[live])
+    first = _spread(heads[live], index[live])
     after = np.repeat((heads + size)[live], index[live]) - first - 1
     found_a, found_b = [], []
     total = np.cumsum(after)
