@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from yearbook.llm import queries as Q
-from yearbook.llm.simhash import codewords, keys_of, linked, near_duplicates
+from yearbook.llm.simhash import codewords, keys_of, linked, links, near_duplicates
 from yearbook.llm.xxh import xxh64
 
 
@@ -72,10 +72,31 @@ def test_no_link_is_lost():
         y.append(b)
     every = np.array(x + y, np.uint64)
     keys, places = keys_of(every)
-    a, b = linked(keys, every[places], 4)
+    a, b, _ = linked(keys, every[places], 4)
     assert {*zip(a.tolist(), b.tolist())} == {(max(p), min(p)) for p in zip(x, y)}
 
 
+@pytest.mark.parametrize("hot", [8, 1 << 13])
+def test_crowded_keys(spark, hot):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(3)]
+    prints = {b ^ sum(1 << k for k in r.sample(range(64), r.randrange(6))) for b in base for _ in range(60)}
+    parent = {p: p for p in prints}
+    for _ in range(100):
+        for a in prints:
+            for b in prints:
+                if (a ^ b).bit_count() <= 4:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    edges = links(spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long"), hot=hot).collect()
+    found = {p: p for p in prints}
+    for _ in range(100):
+        for e in edges:
+            a, b = e["a"] % 2**64, e["b"] % 2**64
+            found[a] = found[b] = min(found[a], found[b])
+    assert found == parent
+
+
 def test_odd_texts(spark):
     r = random.Random(6)
     base = [f"W{r.randrange(500)}" for _ in range(400)]

@@ -34,6 +34,8 @@ SEGMENTS = (22, 21, 21)
 GENERATOR = 0b101011100011
 #: Pairs verified at a time.
 PAIRS = 1 << 21
+#: Fingerprints of one key that a shard compares by itself; of more, parts are compared in tasks of their own.
+HOT = 1 << 13
 
 
 def _tables():
@@ -116,8 +118,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def linked(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints that share a key and differ in `most` bits or fewer, as a forest."""
+def linked(keys: np.ndarray, prints: np.ndarray, most: int, hot: int = 2**62) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Links between fingerprints that share a key and differ in `most` bits or fewer, as a forest.
+
+    Keys of more than `hot` entries are left out, and returned with their distinct fingerprints."""
     order = np.argsort(keys)
     keys, prints = keys[order], prints[order]
     heads = runs(keys >> U64(1))
@@ -125,6 +129,8 @@ def linked(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray,
     index = np.add.reduceat((keys & U64(1) == 0).astype(np.int64), heads) if len(heads) else size
     # in a run, index entries come first: each is compared with all that follow it
     live = (size > 1) & (index > 0)
+    large = [(int(keys[h]), np.unique(prints[h : h + n])) for h, n in zip(heads[live & (size > hot)], size[live & (size > hot)])]
+    live &= size <= hot
     first = _spread(heads[live], index[live])
     after = np.repeat((heads + size)[live], index[live]) - first - 1
     found_a, found_b = [], []
@@ -145,8 +151,20 @@ def linked(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray,
             found_a, found_b = [a], [b]
         i = j
     if not found_a:
-        return np.empty(0, U64), np.empty(0, U64)
-    return forest(np.concatenate(found_a), np.concatenate(found_b))
+        return np.empty(0, U64), np.empty(0, U64), large
+    return *forest(np.concatenate(found_a), np.concatenate(found_b)), large
+
+
+def between(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two sets of fingerprints, as a forest."""
+    a, b = np.empty(0, U64), np.empty(0, U64)
+    step = max(1, PAIRS // max(1, len(y)))
+    for i in range(0, len(x), step):
+        some = x[i : i + step, None]
+        p, q = np.nonzero((np.bitwise_count(some ^ y) <= most) & (some != y))
+        left, right = some[p, 0], y[q]
+        a, b = forest(np.concatenate([a, np.minimum(left, right)]), np.concatenate([b, np.maximum(left, right)]))
+    return a, b
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -206,9 +224,13 @@ def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
     return out
 
 
-def links(classes: DataFrame, most: int = 4) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within `most` (4 or fewer) bits of each other."""
-    if most > sum(range(3)) + 1:
+def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints within `most` (4 or fewer) bits of each other.
+
+    A shard compares the entries of each of its keys, in blocks. The entries of
+    a key with more than `hot` are dealt into parts instead, and every two
+    parts are compared in a task of their own."""
+    if most > 4:
         raise ValueError("the keys find pairs of 4 or fewer differing bits")
     n = max(8, shuffle_partitions(classes.sparkSession))
 
@@ -233,10 +255,28 @@ def links(classes: DataFrame, most: int = 4) -> DataFrame:
             count = (len(data) - m) // 8
             prints.append(np.frombuffer(data[4:m], U64)[np.frombuffer(data, "<u2", count, m)])
             keys.append(from_low_bytes(data[m + 2 * count :]))
-        a, b = linked(np.concatenate(keys), np.concatenate(prints), most)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
-
-    return classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary").groupBy("shard").applyInArrow(link, "a long, b long")
+        a, b, large = linked(np.concatenate(keys), np.concatenate(prints), most, hot)
+        shard = table["shard"][0].as_py() << 48  # keys are the 48 low bits within a shard
+        parts = [(shard | key, k, -(-len(p) // hot), p[k * hot : (k + 1) * hot].tobytes()) for key, p in large for k in range(-(-len(p) // hot))]
+        none = [None] * len(parts)
+        key, part, count, own = (list(c) for c in zip(*parts)) if parts else ([], [], [], [])
+        pad = [None] * len(a)
+        return pa.table({"a": pa.array([*a.view(np.int64).tolist(), *none], pa.int64()), "b": pa.array([*b.view(np.int64).tolist(), *none], pa.int64()), "key": pa.array([*pad, *key], pa.int64()), "part": pa.array([*pad, *part], pa.int32()), "parts": pa.array([*pad, *count], pa.int32()), "prints": pa.array([*pad, *own], pa.binary())})
+
+    def compare(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = between(np.frombuffer(x, U64), np.frombuffer(y, U64), most)
+                yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    found = written(classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary").groupBy("shard").applyInArrow(link, "a long, b long, key long, part int, parts int, prints binary"))
+    edges, large = found.where("key is null").select("a", "b"), found.where("key is not null")
+    if large.isEmpty():
+        return edges
+    left = large.select("key", "part", F.col("prints").alias("x"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"))
+    right = large.select("key", F.col("part").alias("other"), F.col("prints").alias("y"))
+    pairs = left.join(right, ["key", "other"]).repartition(n, "key", "part", "other").select("x", "y")
+    return edges.unionByName(pairs.mapInArrow(compare, "a long, b long"))
 
 
 def grouped(prints: DataFrame, most: int) -> DataFrame:
