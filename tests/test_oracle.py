@@ -33,3 +33,13 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_every_query_without_sql_has_a_test_of_its_own():
     assert set(QUERIES) - set(SQL) == {"resolve_entities", "weighted_sample"}
+
+
+def test_registering_needs_no_session(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 50)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert out.stdout.strip().endswith("True"), out.stderr

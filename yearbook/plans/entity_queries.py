@@ -70,16 +70,20 @@ SELECT canonical_facility_id, canonical_name, {joined('all_names')} AS all_names
 )
 query("split_facts", "SELECT id, CASE WHEN canonical_facility_id = 'XAP_000' AND facility_name LIKE '%Annex%' THEN 'XAP_900' ELSE canonical_facility_id END AS canonical_facility_id FROM r_facility_years")(lambda t: _split(t)[1].select("id", "canonical_facility_id"))
 
-FIXES = [
-    M.Fix("014 city", F.col("city").isNull() & F.col("address").like("%1 Main%"), {"city": F.lit("Main")}),
-    M.Fix("015 area", F.col("bsl4_area_m2").between(20000, 30000) & ~F.col("has_bsl4"), {"bsl4_area_m2": F.lit(None)}),
-    M.Fix("016 level", (F.col("highest_containment") == "BSL-4") & F.col("bsl4_area_m2").isNull(), {"highest_containment": F.lit("BSL-3"), "has_bsl4": F.lit(False)}),
-    M.Fix("013 done", F.lit(True), {"city": F.lit("never")}),
-]
+
+def _fixes():
+    return [
+        M.Fix("014 city", F.col("city").isNull() & F.col("address").like("%1 Main%"), {"city": F.lit("Main")}),
+        M.Fix("015 area", F.col("bsl4_area_m2").between(20000, 30000) & ~F.col("has_bsl4"), {"bsl4_area_m2": F.lit(None)}),
+        M.Fix("016 level", (F.col("highest_containment") == "BSL-4") & F.col("bsl4_area_m2").isNull(), {"highest_containment": F.lit("BSL-3"), "has_bsl4": F.lit(False)}),
+        M.Fix("013 done", F.lit(True), {"city": F.lit("never")}),
+    ]
+
+
 query("apply_fixes", """
 WITH a AS (SELECT id, CASE WHEN city IS NULL AND address LIKE '%1 Main%' THEN 'Main' ELSE city END AS city, CASE WHEN bsl4_area_m2 BETWEEN 20000 AND 30000 AND NOT has_bsl4 THEN NULL ELSE bsl4_area_m2 END AS bsl4_area_m2, highest_containment, has_bsl4 FROM r_facility_years)
 SELECT id, city, bsl4_area_m2, CASE WHEN highest_containment = 'BSL-4' AND bsl4_area_m2 IS NULL THEN 'BSL-3' ELSE highest_containment END AS highest_containment, CASE WHEN highest_containment = 'BSL-4' AND bsl4_area_m2 IS NULL THEN false ELSE has_bsl4 END AS has_bsl4 FROM a""")(
-    lambda t: M.apply_fixes(t.facility_years, FIXES, done=("013 done",)).select("id", "city", "bsl4_area_m2", "highest_containment", "has_bsl4")
+    lambda t: M.apply_fixes(t.facility_years, _fixes(), done=("013 done",)).select("id", "city", "bsl4_area_m2", "highest_containment", "has_bsl4")
 )
 query("delete_orphans", "SELECT canonical_facility_id FROM r_facilities f WHERE EXISTS (FROM r_facility_years y WHERE y.canonical_facility_id = f.canonical_facility_id AND year > 2000)")(
     lambda t: M.delete_orphans(t.facilities, t.facility_years.where("year > 2000")).select("canonical_facility_id")
