@@ -119,3 +119,22 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination()
     last = max(tmp_path.joinpath("out").iterdir(), key=lambda p: int(p.name[1:]))
     assert spark.read.parquet(str(last)).count() == events.count()
+
+
+def test_small_sources(spark, tmp_path):
+    (tmp_path / "a_form.json").write_text(json.dumps({"id": "a", "facilities": [{"facility_name": "Lab", "containment": {"has_bsl4": True, "bsl4_area_m2": 1.5}, "agents": {"listed": ["x", "y"]}, "extraction_metadata": {"language": "fr", "year": 2001}}]}))
+    (tmp_path / "b_form.json").write_text(json.dumps({"id": "b", "facilities": []}))
+    inner = "facility_name string, responsible_organisation string, translated boolean, location struct<address:string,city:string,full_text:string>, funding struct<sources:array<string>,mod_funded:boolean>, containment struct<has_bsl4:boolean,bsl4_area_m2:double,has_bsl3:boolean,bsl3_area_m2:double,highest_containment:string>, agents struct<listed:array<string>,redacted:boolean,raw_text:string>, confidence double, extraction_metadata struct<country_iso3:string,year:int,language:string>"
+    fields = ",".join(f"{name}:{kind}" for name, kind in (x.strip().split(" ", 1) for x in inner.split(", ")))
+    records = R.read_records(spark, str(tmp_path / "*_form.json"), f"id string, facilities array<struct<{fields}>>", spark.createDataFrame([("b",)], "id string"))
+    from yearbook.operators.compliance import flatten_facilities
+
+    flat = flatten_facilities(records).collect()
+    assert [(r["document_id"], r["place"], r["year"], r["agents_summary"], r["translated"], float(r["bsl4_area_m2"])) for r in flat] == [("a", 0, 2001, "x; y", True, 1.5)]
+    pages = spark.createDataFrame([("d", 50), ("d", 100), ("e", 500)], "id string, char_count int")
+    assert {r["id"]: r["needs_ocr"] for r in K.needs_ocr(pages).collect()} == {"d": True, "e": False}
+    languages = spark.createDataFrame([("ar",), ("fr",), ("xx",)], "l string").select("l", K.ocr_engine(F.col("l")).alias("e"))
+    assert {r["l"]: r["e"] for r in languages.collect()} == {"ar": "vision", "fr": "tesseract:fra", "xx": "tesseract:eng"}
+    rows = spark.createDataFrame([(1, True, False, "a"), (2, True, False, "a"), (3, False, False, "b"), (4, False, True, "c")], "n int, downloaded boolean, is_amendment boolean, id string")
+    assert sorted(r["n"] for r in K.loadable(rows, "n").collect()) == [1, 4]
+    assert set(R.checks(spark.createDataFrame([], R.SCHEMAS["defence_facilities"]))) >= {"confidence from 0 to 1", "year from 1980 to 2099", "personnel_total not negative"}
