@@ -196,26 +196,30 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     paths.append(path)
                     lines.append(kept)
                     marks.append(article)
-                    # an article's lines are never compared as its own, but others may be with them
-                    hashes.append([xxhash.xxh64_intdigest(line) - 2**63 for line in kept])
+                    hashes.append([xxhash.xxh64_intdigest(line) - 2**63 for line, _ in found])
                 rows = range((part << 40) + row, (part << 40) + row + len(ids))
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), ids, urls, pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(marks, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))], names=["row", "page_id", "url", "host", "path", "lines", "article", "hashes"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     lined = written(source.mapInArrow(parse, "row long, page_id long, url string, host string, path string, lines array<string>, article boolean, hashes array<long>"))
-    partners = lined.select(F.col("row").alias("partner"), F.col("hashes").alias("others")).join(nearest(lined), "partner").select("row", "others")
-    paired = lined.select("row", "page_id", "url", "lines", "article", "hashes").join(partners, "row", "left")
+    marked = lined.where("article").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    # only pages without an article travel to their partners' lines
+    unmarked = lined.where("not article").select("row", "page_id", "url", "lines", "hashes")
+    near = nearest(lined).join(unmarked.select("row"), "row", "left_semi")
+    partners = lined.select(F.col("row").alias("partner"), F.col("hashes").alias("others")).join(near, "partner").select("row", "others")
+    paired = unmarked.join(partners, "row", "left")
 
     def differ(batches):
         for b in batches:
             texts = []
-            for lines, article, own, others in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                if not article and others:
+            for lines, own, others in zip(*(b.column(k).to_pylist() for k in range(2, 5))):
+                if others:
                     gone = common_lines(own, others)
                     if sum(len(lines[i]) for i in gone) < COPIES * sum(map(len, lines)):
                         lines = [x for i, x in enumerate(lines) if i not in gone]
                 texts.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return paired.select("page_id", "url", "lines", "article", "hashes", "others").mapInArrow(differ, "page_id long, url string, text string")
+    differed = paired.select("page_id", "url", "lines", "hashes", "others").mapInArrow(differ, "page_id long, url string, text string")
+    return marked.unionByName(differed)
