@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from yearbook.llm.exchange import written
 from yearbook.llm.lines import drop_shared_lines
+from yearbook.llm.minhash import one_of_each
 from yearbook.llm.packing import pack
 from yearbook.llm.patterns import contamination
 from yearbook.llm.queries import table, tokenizer_path
 from yearbook.llm.rulefit import learned, scored
-from yearbook.llm.simhash import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    return one_of_each(docs)
+    """One document of each group of near duplicates, five-word shingles of similarity 0.8 or over: that with the smallest id."""
+    return one_of_each(docs, k=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,7 +191,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(prints, f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")
 
 
-def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
+def shingled(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, in the order of the texts, and how many each text has."""
     buffer = Buffer(texts)
     starts, ends = words_of(buffer)
     first, last = buffer.counts(starts)
@@ -207,7 +208,11 @@ def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
     shingles = np.where(words > 0, np.maximum(words - k + 1, 1), 0)
     begin = _spread(first, shingles)
     end = np.minimum(begin + k, np.repeat(last, shingles)) - 1
-    h = xxh64(data, at[begin], at[end] + lens[end], seed)
+    return xxh64(data, at[begin], at[end] + lens[end], seed), shingles
+
+
+def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
+    h, shingles = shingled(texts, k, seed)
     out = np.zeros(len(texts), U64)
     has = np.flatnonzero(shingles)
     total = np.cumsum(shingles)
@@ -302,16 +307,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "root").select("fingerprint", "component_id")
     return prints.join(ids, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """The rows of docs, all columns, but of each group of near duplicates only the one with the smallest id.
-
-    A row with an id goes before one without; of rows with equal ids any one
-    stays. See near_duplicates for what links."""
-    prints = fingerprints(docs, id_col, text_col, carry=tuple(docs.columns))
-    rows = written(prints.withColumn("row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    least = rows.groupBy("fingerprint").agg(first)
-    chosen = grouped(rows, most).join(least, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.row")
-    return rows.join(chosen, "row", "left_semi").select(*(F.col(f"carried.`{c}`") for c in docs.columns))
