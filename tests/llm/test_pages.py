@@ -57,3 +57,15 @@ def test_differencing(spark):
     assert place_of("HTTPS://Ex.Org/a/b?c#d") == ("ex.org", "a/b")
 
 
+
+
+def test_names_round_an_article():
+    text = lambda page: [line for line, inside in lines_of(page) if inside]
+    for names in ("content has-sidebar", "no-sidebar", "with-menu page", "without_ads", "page-with-menu", "widget"):
+        assert text(f'<body><div>Home</div><div class="{names}"><article><p>The whole story</p><div class="comments"><article>No</article></div></article></div></body>') == ["The whole story"]
+    assert lines_of('<div class="no-sidebar"><p>unmarked</p></div><div class="site-sidebar">s</div><div id="nav_top">n</div><div class="has-x menu">m</div>') == [("unmarked", False)]
+    assert text('<div class="widget"><div><div role="main">By its role</div></div></div>') == ["By its role"]
+    # what else is an article in a dropped element: teasers beside the article, comments under unmarked text
+    assert lines_of('<article>Story</article><div class="related"><article>A longer teaser</article></div>') == [("Story", True)]
+    assert lines_of('<p>A long text that nothing marks</p><div class="comments"><article>First!</article></div>') == [("A long text that nothing marks", False)]
+    assert lines_of('<aside><article>teaser</article></aside><div class="menu" hidden><main>m</main></div>') == []

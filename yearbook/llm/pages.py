@@ -31,7 +31,7 @@ DROPPED = frozenset("head nav footer aside form select button dialog menu object
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|notification|popup|modal|overlay|promo|promotion|sponsor|sponsored|"
+    r"(?:^|\s)(?!(?:has|no|with|without)[_-])(?:\S*[_-])?(?:ads?|adverts?|advertisement|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|notification|popup|modal|overlay|promo|promotion|sponsor|sponsored|"
     r"comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|footer|masthead|toolbar|pagination|pager|widget|copyright|skip)(?:$|[\s_-])"
 )
 #: Two pages that share this part of their unmarked text are copies, and what they share is no boilerplate.
@@ -39,13 +39,16 @@ COPIES = 0.8
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page that no element's name rules out, and whether they lie in an article."""
-    lines: list[tuple[str, bool]] = []
+    """The lines of a page that no element's name rules out, and whether they lie in an article.
+
+    An article inside an element that its class or id rules out counts if the
+    page has no other and all its other lines have less text."""
+    lines: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped from here on, in the article
+    stack: list[tuple[str, int, int]] = []  # name; dropped from here on: 1 by class or id, 2 else; in the article: 2 if it is in a dropped element
     at, n = 0, len(page)
 
-    def flush(inside: bool) -> None:
+    def flush(inside: int) -> None:
         if text:
             if line := " ".join(entities.unescape("".join(text)).split()):
                 lines.append((line, inside))
@@ -53,7 +56,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
 
     while at < n:
         tag = TAG.search(page, at)
-        dropped, inside = stack[-1][1:] if stack else (False, False)
+        dropped, inside = stack[-1][1:] if stack else (0, 0)
         stop = tag.start() if tag else n
         if stop > at and not dropped:
             text.append(page[at:stop])
@@ -79,20 +82,27 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             continue
         if name in VOID or tag[3].endswith("/") and name not in MAIN:
             continue
-        if not dropped:
-            dropped = name in DROPPED or name == "header" and not inside
-            if not dropped and tag[3] and name not in ("html", "body") and name not in MAIN:
+        if dropped < 2:
+            hard, main = name in DROPPED or name == "header" and not inside, name in MAIN
+            if not hard and tag[3] and name not in ("html", "body") and not main:
                 own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag[3])}
-                dropped = bool(NAMES.search(f"{own.get('class', '')} {own.get('id', '')}".lower())) or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true"
-                inside = inside or own.get("role", "").lower() in MAIN or own.get("itemprop", "") == "articleBody"
-            inside = inside or name in MAIN
+                main = own.get("role", "").lower() in MAIN or own.get("itemprop", "") == "articleBody"
+                hard = own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true"
+                if NAMES.search(f"{own.get('class', '')} {own.get('id', '')}".lower()):
+                    dropped, main = 1, False
+            if hard:
+                dropped = 2
+            elif main and not inside:
+                dropped, inside = 0, 1 + (dropped > 0)
         if name == "p":  # an open paragraph ends where the next begins
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in INLINE), None)
             if depth is not None and stack[depth][0] == "p":
                 del stack[depth:]
         stack.append((name, dropped, inside))
-    flush(stack[-1][2] if stack else False)
-    return lines
+    flush(stack[-1][2] if stack else 0)
+    size = [sum(len(line) for line, inside in lines if inside == k) for k in range(3)]
+    rescued = not size[1] and size[2] > size[0]
+    return [(line, inside > 0) for line, inside in lines if inside < 2 or rescued]
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
