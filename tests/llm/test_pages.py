@@ -69,3 +69,15 @@ def test_names_round_an_article():
     assert lines_of('<article>Story</article><div class="related"><article>A longer teaser</article></div>') == [("Story", True)]
     assert lines_of('<p>A long text that nothing marks</p><div class="comments"><article>First!</article></div>') == [("A long text that nothing marks", False)]
     assert lines_of('<aside><article>teaser</article></aside><div class="menu" hidden><main>m</main></div>') == []
+
+
+def test_short_articles_under_long_menus(spark):
+    menu = "".join(f"<div>A long entry of the menu, number {i}</div>" for i in range(30))
+    end = "<div>All rights reserved by the owners of this site</div>"
+    copy = "".join(f"<p>A copied paragraph, number {i}</p>" for i in range(10))
+    bodies = {f"http://a.x/n/{i}": f"<p>Story {i}</p>" for i in range(6)} | {"http://a.x/p/1": f"{copy}<p>Monday</p>", "http://a.x/p/2": f"{copy}<p>Tuesday</p>"}
+    df = spark.createDataFrame([(i, u, f"<body>{menu}{b}{end}</body>") for i, (u, b) in enumerate(bodies.items())] + [(99, "http://a.x/z", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    assert {i: got[i] for i in range(6)} == {i: f"Story {i}" for i in range(6)}
+    # copies keep what they share, though half of the host has other articles
+    assert all(f"A copied paragraph, number {i}" in got[p] for p in (6, 7) for i in range(10)) and "Monday" in got[6] and "Tuesday" in got[7] and got[99] == ""

@@ -34,7 +34,7 @@ NAMES = re.compile(
     r"(?:^|\s)(?!(?:has|no|with|without)[_-])(?:\S*[_-])?(?:ads?|adverts?|advertisement|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|notification|popup|modal|overlay|promo|promotion|sponsor|sponsored|"
     r"comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|footer|masthead|toolbar|pagination|pager|widget|copyright|skip)(?:$|[\s_-])"
 )
-#: Two pages that share this part of their unmarked text are copies, and what they share is no boilerplate.
+#: Two pages that share this part of their unmarked text, lines that the host repeats aside, are copies, and what they share is no boilerplate.
 COPIES = 0.8
 
 
@@ -176,6 +176,17 @@ def nearest(lined: DataFrame) -> DataFrame:
     return near.select("row", partner.alias("partner")).where("partner is not null")
 
 
+def repeated(lined: DataFrame, unmarked: DataFrame) -> DataFrame:
+    """(host, common): hashes of the lines on at least half of a host's pages besides any two that have them.
+
+    At most about twice as many as a page has lines, however many pages the
+    host has; pages without lines do not count."""
+    there = lined.join(unmarked.select("host").distinct(), "host", "left_semi").where(F.size("hashes") > 0)
+    pages = there.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 2")
+    lines = there.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    return lines.join(pages, "host").where("2 * (n - 2) >= pages - 2").groupBy("host").agg(F.collect_list("hash").alias("common"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of each page: its main text.
 
@@ -185,7 +196,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     left out. A page that marks an article (article, main) keeps all other
     lines in it, those that other pages share too. A page that marks none keeps
     its lines that the page nearest by URL lacks, or all if the two are copies
-    or its host has no other page. A null html is empty and gives an empty
+    or its host has no other page. Copies are told by the lines that the host
+    does not repeat on half of its other pages; a host of two pages shows none.
+    A null html is empty and gives an empty
     text; a null url counts as an empty one; equal ids, urls and repeated rows
     are taken row by row; other columns are ignored; an empty table gives an
     empty result.
@@ -215,21 +228,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     lined = written(source.mapInArrow(parse, "row long, page_id long, url string, host string, path string, lines array<string>, article boolean, hashes array<long>"))
     marked = lined.where("article").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
     # only pages without an article travel to their partners' lines
-    unmarked = lined.where("not article").select("row", "page_id", "url", "lines", "hashes")
+    unmarked = lined.where("not article").select("row", "page_id", "url", "host", "lines", "hashes")
     near = nearest(lined).join(unmarked.select("row"), "row", "left_semi")
     partners = lined.select(F.col("row").alias("partner"), F.col("hashes").alias("others")).join(near, "partner").select("row", "others")
-    paired = unmarked.join(partners, "row", "left")
+    paired = unmarked.join(partners, "row", "left").join(repeated(lined, unmarked), "host", "left")
 
     def differ(batches):
         for b in batches:
             texts = []
-            for lines, own, others in zip(*(b.column(k).to_pylist() for k in range(2, 5))):
+            for lines, own, others, common in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
                 if others:
-                    gone = common_lines(own, others)
-                    if sum(len(lines[i]) for i in gone) < COPIES * sum(map(len, lines)):
+                    gone, common = common_lines(own, others), frozenset(common or ())
+                    size = [len(line) * (h not in common) for line, h in zip(lines, own)]
+                    if sum(size[i] for i in gone) < COPIES * sum(size):
                         lines = [x for i, x in enumerate(lines) if i not in gone]
                 texts.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    differed = paired.select("page_id", "url", "lines", "hashes", "others").mapInArrow(differ, "page_id long, url string, text string")
+    differed = paired.select("page_id", "url", "lines", "hashes", "others", "common").mapInArrow(differ, "page_id long, url string, text string")
     return marked.unionByName(differed)
