@@ -16,6 +16,10 @@ def _documents(t):
 query("text_chunks", """SELECT doc_id, CAST(len(text) AS INT) AS n, CAST(ceil(len(text) / 1000.0) AS INT) AS chunks, substring(text, 1, 1000) AS first FROM documents""")(
     lambda t: _documents(t).withColumn("c", T.fixed_chunks(F.col("text"), 1000)).select("doc_id", F.length("text").alias("n"), F.size("c").alias("chunks"), F.coalesce(F.get("c", F.lit(0)), F.lit("")).alias("first"))
 )
+query("text_chunk_rows", """SELECT doc_id, CAST(place AS INT) AS place, substring(text, place * 1000 + 1, 1000) AS chunk
+FROM (SELECT doc_id, text, unnest(range(CAST(ceil(len(text) / 1000.0) AS BIGINT))) AS place FROM documents)""")(
+    lambda t: _documents(t).select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"), 1000)).alias("place", "chunk"))
+)
 query("nothing_to_declare", r"""SELECT doc_id, regexp_matches(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Nothing new  to declare' ELSE '' END), '(?i)nothing\s+(new\s+)?to\s+declare|nothing\s+to\s+report|no\s+declaration\s+(is\s+)?required|no\s+activities\s+to\s+report')
   AND len(trim(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Nothing new  to declare' ELSE '' END))) < 2000 AS nothing FROM documents""")(
     lambda t: _documents(t).select("doc_id", T.nothing_to_declare(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Nothing new  to declare").otherwise(""))).alias("nothing"))
