@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from yearbook.llm.lines import PerfectHash, drop_shared_lines
 from yearbook.llm.substring import remove_repeats
-from yearbook.llm.suffix import minima, remove_repeated_bytes, repeated_starts, suffix_array
+from yearbook.llm.suffix import common_prefixes, minima, remove_repeated_bytes, repeated_starts, suffix_array
 from yearbook.llm import queries as Q
 
 
@@ -86,3 +86,12 @@ def test_perfect_hash_is_minimal():
 def test_minima():
     v = np.random.default_rng(2).integers(0, 99, 500).astype(np.uint64)
     assert minima(v, 7).tolist() == [min(v[i : i + 7]) for i in range(494)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=120).map(lambda b: bytes(x % 2 for x in b)), st.sampled_from([1, 7, 8, 9, 30]))
+def test_common_prefixes(text, most):
+    order = suffix_array(np.frombuffer(text, np.uint8), most)
+    a, b = order[:-1], order[1:]
+    plain = [next((k for k in range(most) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or max(i, j) + k >= len(text)), most) for i, j in zip(a, b)]
+    assert common_prefixes(np.frombuffer(text, np.uint8), a, b, most).tolist() == plain

@@ -11,7 +11,7 @@ with the bytes they reach over. Segments of one key meet in one shard. Equal
 segments settle each other; for those that only overlap, the shard builds a
 suffix array in two stages - suffixes smaller than their successors are sorted
 directly, all others are induced by scanning the buckets - and compares
-neighbours up to `length` bytes.
+neighbours: the bytes that adjacent suffixes have in common, up to `length`.
 """
 
 from __future__ import annotations
@@ -89,66 +89,64 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    new = np.zeros(len(keys), U64)
-    ordered = keys[order]
-    new[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(keys), U64)
-    out[order] = np.cumsum(new) + U64(1)
-    return out
-
-
 def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Sort the suffixes at `at`, 64 bytes a round; only ties go on."""
+    """Sort the suffixes at `at`, and no others, seven bytes a round; only ties go on.
+
+    Of the ties, only groups that differ in the bytes of the round are sorted."""
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, U64)
-    for k in range(8):
-        key = (key << U64(8)) | wide[k : k + n]
-    # an end counts as a zero byte here; the rank's second half tells it from one
-    rank, span = _ranks(key), 8
-    while span < 32:
-        rank, span = _ranks((rank << U64(32)) | np.concatenate([rank[span:], np.zeros(min(span, n), U64)])[:n]), span * 2
-    rank = np.concatenate([rank, np.zeros(2 * span + depth, U64)])
-    pair = lambda p: (rank[p] << U64(32)) | rank[p + span]
+    words = np.ndarray((n + 1,), ">u8", wide, strides=(1,))
+
+    def key(p: np.ndarray) -> np.ndarray:
+        # seven bytes, then how many of them the text has: an end goes before a zero byte
+        p = np.minimum(p, n)
+        return words[p].astype(U64) & ~U64(0xFF) | np.minimum(n - p, 7).astype(U64)
+
     out = at.copy()
-    place, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    done = 0
-    while len(place) and done < depth:
-        p = out[place]
-        k = pair(p + done)
-        order = np.lexsort((k, group))
-        p, k, g = p[order], k[order], group[order]
-        out[place] = p
-        new = np.ones(len(p), bool)
-        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        place, group = place[tied], np.cumsum(new)[tied]
-        done += 2 * span
+    place, heads = np.arange(len(at)), np.zeros(min(1, len(at)), np.int64)
+    for done in range(0, depth, 7):
+        if not len(place):
+            break
+        size = np.diff(np.append(heads, len(place)))
+        k = key(out[place] + done)
+        group = np.repeat(np.arange(len(heads)), size)
+        uneven = np.bincount(group[k != k[heads][group]], minlength=len(heads)) > 0
+        mixed = np.flatnonzero(uneven[group])
+        order = mixed[np.lexsort((k[mixed], group[mixed]))]
+        out[place[mixed]], k[mixed] = out[place[order]], k[order]
+        new = np.ones(len(place) + 1, bool)
+        new[1:-1] = k[1:] != k[:-1]
+        new[heads] = True
+        tied = ~(new[:-1] & new[1:])
+        place, heads = place[tied], np.flatnonzero(new[:-1][tied])
     return out
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the strings at a and b have `length` bytes in common, eight at a time."""
-    wide = np.concatenate([text, np.zeros(16, np.uint8)])
-    words = np.ndarray((len(text) + 8,), "<u8", wide, strides=(1,))
-    out = np.zeros(len(a), bool)
-    live = np.flatnonzero((a + length <= len(text)) & (b + length <= len(text)))
-    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]:
-        live = live[words[a[live] + k] == words[b[live] + k]]
-    if length < 8:
-        live = live[[bytes(text[i : i + length]) == bytes(text[j : j + length]) for i, j in zip(a[live], b[live])]]
-    out[live] = True
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes the strings at a and b have in common, up to `most`, eight at a time."""
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(text) + 1,), "<u8", wide, strides=(1,))
+    limit = np.minimum(most, len(text) - np.maximum(a, b))
+    out = limit.copy()
+    live = np.flatnonzero(limit > 0)
+    for k in range(0, most, 8):
+        x = words[a[live] + k] ^ words[b[live] + k]
+        differ = np.flatnonzero(x)
+        # the lowest set bit lies in the first byte that differs
+        low = np.bitwise_count((x[differ] & -x[differ]) - U64(1)).astype(np.int64) // 8
+        out[live[differ]] = np.minimum(limit[live[differ]], k + low)
+        live = live[x == 0]
+        live = live[limit[live] > k + 8]
+        if not len(live):
+            break
     return out
 
 
 def repeated_starts(text: np.ndarray, is_start: np.ndarray, length: int) -> np.ndarray:
     """Which marked starts share their next `length` bytes with another marked start."""
     order = suffix_array(text, length)
-    near = common(text, order[:-1], order[1:], length)
-    group = np.concatenate([[0], np.cumsum(~near)])
+    shared = common_prefixes(text, order[:-1], order[1:], length)
+    group = np.concatenate([[0], np.cumsum(shared < length)])
     mine = is_start[order]
     many = np.bincount(group, weights=mine) > 1
     out = np.zeros(len(text), bool)
