@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from yearbook.llm.lines import PerfectHash, drop_shared_lines
+from yearbook.llm.lines import LineIndex, PerfectHash, drop_shared_lines
 from yearbook.llm.substring import remove_repeats
 from yearbook.llm.suffix import common_prefixes, minima, remove_repeated_bytes, repeated_starts, suffix_array
 from yearbook.llm import queries as Q
@@ -79,8 +79,45 @@ def test_repeated_starts(text, length):
 
 
 def test_perfect_hash_is_minimal():
-    keys = np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64)
-    assert sorted(PerfectHash(keys).index(keys)) == list(range(len(keys)))
+    r = np.random.default_rng(1)
+    keys, prints = r.integers(0, 2**64, 20_000, dtype=np.uint64), r.integers(0, 2**32, 20_000, dtype=np.uint32)
+    assert sorted(PerfectHash.of(keys, prints).index(keys, prints)) == list(range(len(keys)))
+
+
+def test_lines_of_equal_keys_keep_their_own_places():
+    keys = np.repeat(np.arange(50, dtype=np.uint64), 40)  # forty lines collide in each key
+    prints, docs, ones = np.arange(2000, dtype=np.uint32), np.arange(2000) + 7, np.ones(2000, np.int64)
+    twice = lambda x, y: np.concatenate([x, y])
+    made = LineIndex.of(twice(keys, keys[::2]), twice(prints, prints[::2]), twice(docs, docs[::2] - 5), twice(ones, ones[::2]))
+    index = LineIndex.from_bytes(made.to_bytes())
+    counts, first = index.probe(keys, prints)
+    assert counts.tolist() == [2, 1] * 1000 and first.tolist() == [d - 5 if i % 2 == 0 else d for i, d in enumerate(docs.tolist())]
+    assert LineIndex.of(keys[:0], prints[:0], docs[:0], ones[:0]).probe(keys[:2], prints[:2])[0].tolist() == [0, 0]
+
+
+def test_chunks_are_bounded_by_bytes_and_rows(spark, monkeypatch):
+    from yearbook.llm import exchange
+
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 1 << 16)
+    rows = [(i, "x" * (200_000 if i % 50 == 7 else 40_000 if i % 3 == 0 else 3)) for i in range(400)]
+    dealt = exchange.Chunks(spark.createDataFrame([*rows, (400, None)], "doc_id long, text string").repartition(3)).table.collect()
+    held = {}
+    for r in dealt:
+        held.setdefault(r["chunk"], []).append(len(r["text"] or ""))
+    assert sorted((r["doc_id"], r["text"]) for r in dealt if r["doc_id"] < 400) == rows and len(dealt) == 401
+    assert all(sum(n + 16 for n in some) <= 1 << 16 or len(some) == 1 for some in held.values())
+    # no chunk is smaller than it must be: two in a row would not fit one
+    assert len(held) <= 2 * sum(len(t) + 16 for _, t in rows) // (1 << 16) + 3 + 8
+
+
+def test_sizes_follow_the_bytes(spark):
+    from yearbook.llm.exchange import MOST_CHUNK, MOST_SHARD, Sizes
+
+    for total in (10**8, 5 * 10**8, 3 * 10**10, 10**12, 10**14):
+        s = Sizes(spark, total)
+        assert s.chunk <= MOST_CHUNK and total / s.shards <= MOST_SHARD and total / s.buckets <= 128 << 20
+        cells = max(1, total // s.chunk) * s.shards
+        assert total / cells >= 100  # bytes of text to a cell
 
 
 def test_minima():

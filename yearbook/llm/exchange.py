@@ -1,11 +1,13 @@
 """Whole-corpus questions about hashes, asked in packed form.
 
-Rows of a table are dealt into chunks of a bounded number of rows and written,
-bucketed by chunk, to the shared folder. A round then has two halves: every
-chunk sends each shard one binary cell with its (already distinct) hashes of
-that range, and every shard answers each cell. A hot hash is thus one entry a
+Rows of a table are dealt into chunks of a bounded number of rows and bytes and
+written, bucketed by chunk, to the shared folder. A round then has two halves:
+every chunk sends each shard one binary cell with its (already distinct) hashes
+of that range, and every shard answers each cell. A hot hash is thus one entry a
 chunk, never a row an occurrence, and shards are even because hashes are. The
 text itself is never shuffled: chunks are read back from their buckets.
+
+Chunks and shards follow the bytes of text, not the session: see Sizes.
 """
 
 from __future__ import annotations
@@ -15,57 +17,102 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_dir, written
 
 U64 = np.uint64
 CELLS = "chunk long, shard int, kind int, payload binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-#: Rows of a chunk. With larger input splits raise it, so that cells stay large.
-CHUNK_ROWS = 2048
+#: Rows of a chunk, at most.
+CHUNK_ROWS = 4096
+#: Bytes of text of a chunk, of a shard and of a bucket, for corpora of up to 1024 shards.
+CHUNK_BYTES, SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 128 << 20
+#: The same for the largest corpora.
+MOST_CHUNK, MOST_SHARD = 64 << 20, 256 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Sizes:
+    """How a corpus of so many bytes of text is dealt.
+
+    A task holds one chunk or one shard at a time, so both are bounded. Their
+    product is what a cell comes from: cells are chunks times shards, and to
+    keep them from getting too small, chunks and shards grow with the corpus
+    from 4 GB on, up to 64 and 256 MB."""
+
+    def __init__(self, spark: SparkSession, total: int):
+        least = max(8, shuffle_partitions(spark))
+        share = total // 1024
+        self.chunk = min(max(CHUNK_BYTES, share // 4), MOST_CHUNK)
+        self.shards = max(least, -(-total // min(max(SHARD_BYTES, share), MOST_SHARD)))
+        self.buckets = max(least, -(-total // BUCKET_BYTES))
+
+
 class Chunks:
     """A table dealt into chunks: the input's columns and `chunk`, bucketed by it."""
 
-    def __init__(self, df: DataFrame, rows: int = CHUNK_ROWS):
+    def __init__(self, df: DataFrame, text_col: str = "text"):
         spark = df.sparkSession
-        self.buckets = max(8, shuffle_partitions(spark))
-        self.shards = self.buckets
+        sizes = Sizes(spark, df.agg(F.sum(F.octet_length(text_col)) + F.count("*") * 16).first()[0] or 0)
+        self.buckets, self.shards = sizes.buckets, sizes.shards
+        text, most = df.columns.index(text_col), sizes.chunk
+
+        def deal(batches):
+            # a chunk ends where the next text would make it too large
+            chunk, rows, size = TaskContext.get().partitionId() << 24, 0, 0
+            for batch in batches:
+                ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+                own, i = np.empty(len(ends), np.int64), 0
+                while i < len(ends):
+                    done = ends[i - 1] if i else 0
+                    j = min(int(np.searchsorted(ends, done + most - size, "right")), i + CHUNK_ROWS - rows)
+                    if j <= i and not rows:
+                        j = i + 1
+                    own[i:j] = chunk
+                    if j > i:
+                        rows, size, i = rows + j - i, size + int(ends[j - 1] - done), j
+                    if i < len(ends):
+                        chunk, rows, size = chunk + 1, 0, 0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "chunk"])
+
         name = f"yearbook_{uuid.uuid4().hex}"
-        place = F.monotonically_increasing_id()
-        # the id has the partition in its upper and the row in its lower 33 bits
-        dealt = df.withColumn("chunk", F.shiftright(place, 33) * (1 << 24) + F.floor((place % (1 << 33)) / rows))
+        dealt = df.mapInArrow(deal, StructType([*df.schema.fields, StructField("chunk", LongType())]))
         (dealt.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark))
          .bucketBy(self.buckets, "chunk").sortBy("chunk").saveAsTable(name))
         self.table = spark.table(name)
         # the plan knows its files and buckets; the external files stay
         spark.sql(f"DROP TABLE {name}")
 
-    def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
-        """One round. send(table, replies, shards) gives (shard, kind, bytes) of a
-        chunk; answer(list of (chunk, kind, bytes)) gives (chunk, kind, bytes) of a
-        shard. Of the table, send sees the columns named, or all. The result has a
-        row for each answer, written to the shared folder."""
+    def send(self, send: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+        """The cells of a round, a partition a shard. send(table, replies, shards)
+        gives (shard, kind, bytes) of a chunk. Of the table, it sees the columns
+        named, or all."""
         shards = self.shards
 
-        def cells(chunk: int, out) -> pa.Table:
-            rows = list(out)
-            return pa.table([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=SCHEMA)
+        def cells(chunk: int, table: pa.Table, got) -> pa.Table:
+            rows = list(send(table, got, shards))
+            return pa.table([pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(SCHEMA)[1:]))], schema=SCHEMA)
+
+        return self.apply(cells, CELLS, replies, columns).repartitionById(shards, F.col("shard"))
+
+    def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+        """One round: answer(list of (chunk, kind, bytes)) gives (chunk, kind, bytes)
+        of a shard. The result has a row for each answer, written to the shared
+        folder."""
 
         def shard(table: pa.Table) -> pa.Table:
-            got = list(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()))
-            number = table["shard"][0].as_py()
-            rows = list(answer(got))
-            return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=SCHEMA)
+            rows = list(answer(list(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()))))
+            return replied(table["shard"][0].as_py(), rows)
 
-        return written(self.apply(lambda chunk, t, r: cells(chunk, send(t, r, shards)), CELLS, replies, columns).groupBy("shard").applyInArrow(shard, CELLS))
+        return written(self.send(send, replies, columns).groupBy("shard").applyInArrow(shard, CELLS))
 
     def apply(self, f: Callable, schema: str, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
         """f(chunk, table, replies) for each chunk; replies: {kind: {shard: bytes}}."""
@@ -82,6 +129,11 @@ class Chunks:
         return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
 
+def replied(shard: int, rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """A shard's answers: (chunk, kind, bytes)."""
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=SCHEMA)
+
+
 def cuts(ascending: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range begins in ascending 64-bit hashes, and the end.
 

@@ -1,9 +1,11 @@
 """Line dedup over a sharded minimal perfect hash.
 
 Each shard of the hash range builds a minimal perfect hash over its distinct
-line hashes. It leads into three arrays without keys: a 32-bit fingerprint, the
-number of documents, and the smallest doc_id. Documents probe the arrays with
-their packed line hashes; no table of lines is joined.
+lines. It leads into three arrays without keys: a 32-bit fingerprint, the number
+of documents, and the smallest doc_id. The arrays are written to the shared
+folder, a row a shard; documents then probe them with their packed line hashes.
+No table of lines is joined. A line is 96 bits, a 64-bit key and a 32-bit print:
+both lead to its place, so lines of equal keys have places of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import U64, Chunks, bits, from_bits, ranges
+from .exchange import CELLS, U64, Chunks, bits, from_bits, ranges, replied, written
 from .substring import ids_of
 from .textbytes import LOWER, Buffer, Poly, byte_set, kept_pieces, mix, spans, texts_of, words_of
 
@@ -22,64 +24,88 @@ NEWLINE = byte_set((0x0A, 0x0A))
 
 
 class PerfectHash:
-    """A minimal perfect hash of distinct 64-bit keys, by levels of bit arrays.
+    """A minimal perfect hash of distinct lines (key, print), by levels of bit arrays.
 
-    A key lives in the first level in which no other remaining key hashes to
+    A line lives in the first level in which no other remaining line hashes to
     its bit; its index is the number of bits set before that one. About three
-    bits a key. A key that was not built in gives -1 or any index."""
-
-    def __init__(self, keys: np.ndarray, gamma: float = 2.0):
-        self.levels, self.bases, base, left, level = [], [], 0, keys, 0
-        while len(left):
-            size = max(64, int(len(left) * gamma))
-            at = self.spot(left, level, size)
-            count = np.bincount(at, minlength=size)
-            alone = count == 1
-            self.levels.append((size, np.packbits(alone)))
-            self.bases.append(base)
-            base += int(alone.sum())
-            left, level = left[~alone[at]], level + 1
-        self.size = base
+    bits a line. A line that was not built in gives -1 or any index."""
+
+    def __init__(self, levels: list[np.ndarray]):
+        self.levels = levels
+        self.before = [np.cumsum(level, dtype=np.int64) - level for level in levels]
+        sizes = np.cumsum([0, *(int(level.sum()) for level in levels)]).tolist()
+        self.bases, self.size = sizes[:-1], sizes[-1]
+
+    @classmethod
+    def of(cls, keys: np.ndarray, prints: np.ndarray, gamma: float = 2.0) -> PerfectHash:
+        levels = []
+        while len(keys):
+            size = max(64, int(len(keys) * gamma))
+            at = cls.spot(keys, prints, len(levels), size)
+            alone = np.bincount(at, minlength=size) == 1
+            levels.append(alone)
+            keys, prints = keys[~alone[at]], prints[~alone[at]]
+        return cls(levels)
 
     @staticmethod
-    def spot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + U64(0x9E3779B97F4A7C15 * (level + 1) % 2**64)) % U64(size)).astype(np.int64)
+    def spot(keys: np.ndarray, prints: np.ndarray, level: int, size: int) -> np.ndarray:
+        h = mix(keys + U64(0x9E3779B97F4A7C15 * (level + 1) % 2**64))
+        return (mix(h + prints.astype(U64)) % U64(size)).astype(np.int64)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
-        for level, ((size, packed), base) in enumerate(zip(self.levels, self.bases)):
+        for k, (level, before, base) in enumerate(zip(self.levels, self.before, self.bases)):
             if not len(todo):
                 break
-            at = self.spot(keys[todo], level, size)
-            alone = np.unpackbits(packed, count=size)
-            hit = alone[at] > 0
-            before = np.cumsum(alone, dtype=np.int64) - alone
+            at = self.spot(keys[todo], prints[todo], k, len(level))
+            hit = level[at]
             out[todo[hit]] = base + before[at[hit]]
             todo = todo[~hit]
         return out
 
 
 class LineIndex:
-    """Fingerprint, document count and smallest doc_id of each line, without its hash."""
+    """Fingerprint, document count and smallest doc_id of each line, without its key."""
 
-    def __init__(self, keys: np.ndarray, prints: np.ndarray, docs: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((docs, keys))
+    def __init__(self, hash_: PerfectHash, prints: np.ndarray, docs: np.ndarray, counts: np.ndarray):
+        self.hash, self.prints, self.docs, self.counts = hash_, prints, docs, counts
+
+    @classmethod
+    def of(cls, keys: np.ndarray, prints: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> LineIndex:
+        order = np.lexsort((docs, prints, keys))
         keys, prints, docs, counts = keys[order], prints[order], docs[order], counts[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.hash = PerfectHash(keys[heads])
-        at = self.hash.index(keys[heads])
-        self.prints = np.empty(len(heads), np.uint32)
-        self.docs = np.empty(len(heads), np.int64)
-        self.counts = np.empty(len(heads), np.uint32)
-        self.prints[at], self.docs[at] = prints[heads], docs[heads]
-        self.counts[at] = np.minimum(np.add.reduceat(counts, heads), 2**32 - 1)
+        heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])])[: len(keys)])
+        hash_ = PerfectHash.of(keys[heads], prints[heads])
+        at = hash_.index(keys[heads], prints[heads])
+        out = cls(hash_, np.empty(len(heads), "<u4"), np.empty(len(heads), "<i8"), np.empty(len(heads), "<u4"))
+        out.prints[at], out.docs[at] = prints[heads], docs[heads]
+        out.counts[at] = np.minimum(np.add.reduceat(counts, heads), 2**32 - 1) if len(heads) else 0
+        return out
+
+    def to_bytes(self) -> bytes:
+        sizes = np.array([len(self.hash.levels), self.hash.size, *map(len, self.hash.levels)], "<i8")
+        return sizes.tobytes() + self.prints.tobytes() + self.docs.tobytes() + self.counts.tobytes() + b"".join(bits(x) for x in self.hash.levels)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> LineIndex:
+        levels, n = np.frombuffer(data, "<i8", 2).tolist()
+        sizes, at = np.frombuffer(data, "<i8", levels, 16).tolist(), 16 + 8 * levels
+        prints, docs, counts = np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<i8", n, at + 4 * n), np.frombuffer(data, "<u4", n, at + 12 * n)
+        at, found = at + 16 * n, []
+        for size in sizes:
+            found.append(from_bits(data[at : at + (size + 7) // 8], size))
+            at += (size + 7) // 8
+        return cls(PerfectHash(found), prints, docs, counts)
 
     def probe(self, keys: np.ndarray, prints: np.ndarray):
         """Counts and smallest doc_ids; 0 and the largest integer where the fingerprint differs."""
-        at = self.hash.index(keys)
-        known = (at >= 0) & (self.prints[at] == prints)
-        return np.where(known, self.counts[at], 0), np.where(known, self.docs[at], np.iinfo(np.int64).max)
+        at = self.hash.index(keys, prints)
+        known = at >= 0
+        known[known] = self.prints[at[known]] == prints[known]
+        counts, docs = np.zeros(len(keys), np.int64), np.full(len(keys), np.iinfo(np.int64).max)
+        counts[known], docs[known] = self.counts[at[known]], self.docs[at[known]]
+        return counts, docs
 
 
 class _Lines:
@@ -115,19 +141,27 @@ class _Lines:
 _ENTRY = np.dtype([("key", "<u8"), ("print", "<u4"), ("doc", "<i8"), ("docs", "<u4")])
 
 
-def _probed(cells):
-    parts = [np.frombuffer(x, _ENTRY) for _, _, x in cells]
-    every = np.concatenate(parts)
-    index = LineIndex(_own(every), every["print"], every["doc"], every["docs"].astype(np.int64))
-    for (chunk, _, _), part in zip(cells, parts):
-        counts, docs = index.probe(_own(part), part["print"])
-        less = (counts > 1) & (docs < part["doc"])
-        if less.any():
-            yield chunk, 1, bits(less) + docs[less].tobytes()
+def _built(table: pa.Table) -> pa.Table:
+    """A shard's arrays."""
+    every = np.concatenate([np.frombuffer(x, _ENTRY) for x in table["payload"].to_pylist()])
+    index = LineIndex.of(every["key"], every["print"], every["doc"], every["docs"].astype(np.int64))
+    return pa.table({"shard": table["shard"].slice(0, 1), "lines": pa.array([index.to_bytes()], pa.binary())})
 
 
-def _own(entries: np.ndarray) -> np.ndarray:
-    return entries["key"] ^ mix(entries["print"].astype(U64))
+def _probed(cells: pa.Table, index: pa.Table) -> pa.Table:
+    """For each cell, which of its lines a smaller doc_id has, and the smallest."""
+    parts = [np.frombuffer(x, _ENTRY) for x in cells["payload"].to_pylist()]
+    if not parts or not index.num_rows:
+        return replied(0, [])
+    every = np.concatenate(parts)
+    counts, docs = LineIndex.from_bytes(index["lines"][0].as_py()).probe(every["key"], every["print"])
+    less, at, out = (counts > 1) & (docs < every["doc"]), 0, []
+    for chunk, part in zip(cells["chunk"].to_pylist(), parts):
+        mine = slice(at, at + len(part))
+        at += len(part)
+        if less[mine].any():
+            out.append((chunk, 1, bits(less[mine]) + docs[mine][less[mine]].tobytes()))
+    return replied(index["shard"][0].as_py(), out)
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -151,7 +185,11 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for shard, cut in ranges(entries["key"], shards):
             yield shard, 1, entries[cut].tobytes()
 
-    found, shards = chunks.ask(probes, _probed, columns=("doc_id", "text")), chunks.shards
+    shards = chunks.shards
+    cells = written(chunks.send(probes, columns=("doc_id", "text")))
+    by_shard = lambda df: df.repartitionById(shards, F.col("shard")).groupBy("shard")
+    index = written(by_shard(cells).applyInArrow(_built, "shard int, lines binary"))
+    found = written(by_shard(cells).cogroup(by_shard(index)).applyInArrow(_probed, CELLS))
 
     def dropped(chunk, table, replies):
         lines = _Lines(table, least)
