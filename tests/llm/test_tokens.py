@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from yearbook.llm import queries as Q
 from yearbook.llm.ans import LANES, Table, coded_tokens, read_tokens, write_tokens
 from yearbook.llm.exchange import shared_dir
-from yearbook.llm.packing import best_fit, local_search, pack
+from yearbook.llm.packing import Packing, Search, dealt, pack
 from yearbook.llm.tokens import Encoder, tokenizer
 
 PATH = Q.tokenizer_path()
@@ -109,19 +109,98 @@ def test_empty(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
-def test_local_search_keeps_documents_and_never_adds_bins(counts):
-    first = best_fit(counts, 30)
-    found = local_search(first, 30)
-    assert sum(found.values()) <= sum(first.values()) and all(sum(k) <= 30 for k in found)
-    for bins in (first, found):
-        total = {}
-        for k, v in bins.items():
-            for x in k:
-                total[x] = total.get(x, 0) + v
-        assert total == counts
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_local_search_keeps_pieces_and_never_adds_bins(pieces):
+    first = dealt(pieces, 30)
+    search = Search(first, 30)
+    search.run()
+    assert sorted(x for b in search.bins for x in b) == sorted(pieces) and all(sum(b) <= 30 for b in search.bins)
+    assert search.least <= search.left == sum(map(bool, search.bins)) <= len(first)
+    squares = lambda bins: sum(sum(b) ** 2 for b in bins)
+    assert squares(search.bins) >= squares(first)
+
+
+@pytest.mark.parametrize("bins, found", [
+    ([[3], [5, 2]], (1, (3,), ())),
+    ([[5], [4, 5]], (1, (5,), (4,))),
+    ([[2, 3], [4, 5]], (1, (3, 2), (4,))),
+    ([[7], [2, 3, 4]], (1, (7,), (2, 4))),
+    ([[2, 2], [7, 2]], None),
+])
+def test_each_kind_of_exchange(bins, found):
+    search = Search(bins, 10)
+    search.leave(0)
+    assert (search.move(0) or search.swap(0, 1) or search.swap(0, 2) or search.one_for_two(0)) == found
 
 
 def test_local_search_empties_a_bin():
-    # 6+4, 6+4 and 5+5 fill three bins of 10; a poor start needs four
-    assert sum(local_search({(6,): 1, (6, 4): 1, (5, 4): 1, (5,): 1}, 10).values()) == 3
+    # 6+4, 6+4 and 5+5 fill three bins of 10
+    search = Search([[6], [6, 4], [5, 4], [5]], 10)
+    search.run()
+    assert search.left == 3
+
+
+def plain_search(bins, size):
+    """Every exchange tried in every order, until the squared fills no longer grow."""
+    bins, again = [list(b) for b in bins], True
+    while again:
+        again = False
+        for i, a in enumerate(bins):
+            for j, b in enumerate(bins):
+                sets = lambda x: [(), *((p,) for p in x), *((x[p], x[q]) for p in range(len(x)) for q in range(p))]
+                for give in sets(a):
+                    for take in sets(b):
+                        if i == j or not give or len(give) + len(take) > 3:
+                            continue
+                        gain = sum(give) - sum(take)
+                        if gain > 0 and sum(b) + gain <= size and gain > sum(a) - sum(b):
+                            for x in give:
+                                a.remove(x)
+                            for x in take:
+                                b.remove(x)
+                            a += take
+                            b += give
+                            again = True
+                            break
+                    else:
+                        continue
+                    break
+    return [b for b in bins if b]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=14))
+def test_where_the_search_ends_no_exchange_helps(pieces):
+    search = Search(dealt(pieces, 20), 20)
+    search.run()
+    found = [b for b in search.bins if b]
+    assert search.left == search.least or sorted(map(sorted, plain_search(found, 20))) == sorted(map(sorted, found))
+
+
+def test_packing_of_300000_pieces():
+    r = np.random.default_rng(4)
+    lengths = np.minimum(4096, r.lognormal(6, 1.1, 300_000).astype(np.int64) + 1)
+    values, counts = np.unique(lengths, return_counts=True)
+    packing = Packing(dict(zip(values.tolist(), counts.tolist())), 4096)
+    order = np.argsort(lengths, kind="stable")
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(counts) - counts, counts)
+    sequence, offset = packing.at(lengths, rank)
+    order = np.lexsort((offset, sequence))
+    sequence, offset, lengths = sequence[order], offset[order], lengths[order]
+    new = np.append(True, np.diff(sequence) != 0)
+    ends = offset + lengths
+    assert (offset[new] == 0).all() and (offset[1:][~new[1:]] == ends[:-1][~new[1:]]).all() and ends.max() <= 4096
+    assert new.sum() <= 1.001 * -(-lengths.sum() // 4096)
+    assert packing.left < 0.9 * packing.dealt
+
+
+@pytest.mark.parametrize("unit", [1, 2, 7, 100])
+def test_grouped_packing_places_every_piece(unit):
+    counts = {1: 9, 3: 4, 7: 5, 10: 3}
+    packing = Packing(counts, 10, unit)
+    lengths = np.repeat(list(counts), list(counts.values()))
+    sequence, offset = packing.at(lengths, np.concatenate([np.arange(n) for n in counts.values()]))
+    for s in set(sequence.tolist()):
+        some = sorted(zip(offset[sequence == s].tolist(), lengths[sequence == s].tolist()))
+        assert [o for o, _ in some] == np.cumsum([0, *(n for _, n in some)])[:-1].tolist() and sum(n for _, n in some) <= 10

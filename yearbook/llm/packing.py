@@ -1,17 +1,22 @@
 """Packing documents into as few sequences as possible.
 
-Pieces of one length are alike, so the solver sees counts of lengths only, at
-most as many as a sequence has places, however large the corpus is. It works on
-classes: equal bins, with their number. A first packing puts each length, long
-ones first, where it leaves the least room. Swap-based local search then takes
-the emptiest bins and moves a document into a fuller bin, exchanges one for
-one, or two for one, whenever this increases the sum of squared fills, until
-bins are empty or no exchange helps. Pieces find their places by their rank
-among those of their length; ranks come from counts of each partition.
+Swap-based local search packs them. Its bins start as a plain deal, next fit in
+shuffled order. Then the emptiest bin gives documents to fuller ones - one moves,
+one is exchanged for one, two for one or one for two - whenever this increases
+the sum of squared fills, until bins are empty or no exchange helps.
+
+The search sees lengths, not documents, and does not grow with the corpus. In
+the order of their lengths, pieces form UNIT groups of equal number at most. A
+group's first piece, the longest, stands for it in the search, and each bin
+found stands for as many sequences: the j-th one takes the j-th piece of each of
+its groups. So what grouping costs is half a bin to each of them, one part in
+thousands; a corpus of UNIT pieces or fewer is packed piece by piece. Lengths
+by rank come from the counts of lengths, so each row works out its own place.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -23,131 +28,196 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import written
+from .simhash import _spread
 from .textbytes import parts
 from .tokens import encoder
 
-Bins = dict[tuple[int, ...], int]
-
-
-def best_fit(counts: dict[int, int], size: int) -> Bins:
-    """Best-fit decreasing over classes: {lengths in a bin, descending: number of bins}."""
-    open_bins: dict[int, list[list]] = defaultdict(list)  # room: [[lengths, number]]
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            room = min((r for r in open_bins if r >= length and open_bins[r]), default=None)
-            if room is None:
-                room = size
-                open_bins[room].append([(), left])
-            lengths, number = open_bins[room].pop()
-            most = room // length
-            full = min(number, left // most)
-            if full:
-                open_bins[room - most * length].append([lengths + (length,) * most, full])
-                left, number = left - full * most, number - full
-            if left and number:
-                k = min(left, most)
-                open_bins[room - k * length].append([lengths + (length,) * k, 1])
-                left, number = left - k, number - 1
-            if number and lengths:
-                open_bins[room].append([lengths, number])
-    out: Bins = defaultdict(int)
-    for classes in open_bins.values():
-        for lengths, number in classes:
-            out[lengths] += number
-    return dict(out)
-
-
-def _exchange(donor: tuple[int, ...], others: list[tuple[int, ...]], size: int):
-    """The exchange with one other bin that raises the squared fill most: (other, given, taken)."""
-    gives = [(x,) for x in sorted(set(donor))]
-    gives += list({tuple(sorted((a, b))) for i, a in enumerate(donor) for b in donor[i + 1 :]})
-    fill = sum(donor)
-    best = (0, None, None, None)
-    for other in others:
-        have = sum(other)
-        room = size - have
-        if not room:
-            continue
-        takes = [(), *((x,) for x in sorted(set(other)))]
-        for give in gives:
-            for take in takes:
-                if len(give) == 2 and len(take) != 1:
-                    continue
-                gain = sum(give) - sum(take)
-                if 0 < gain <= room and (v := (have + gain) ** 2 + (fill - gain) ** 2 - have**2 - fill**2) > best[0]:
-                    best = (v, other, give, take)
-        if len(other) > 1:  # one of the donor's for two of the other's
-            for i, a in enumerate(other):
-                for b in other[i + 1 :]:
-                    for (x,) in gives[: len(set(donor))]:
-                        gain = x - a - b
-                        if 0 < gain <= room and (v := (have + gain) ** 2 + (fill - gain) ** 2 - have**2 - fill**2) > best[0]:
-                            best = (v, other, (x,), (a, b))
-    return best[1:]
-
-
-def _without(lengths: tuple[int, ...], gone: tuple[int, ...]) -> list[int]:
-    out = list(lengths)
-    for x in gone:
-        out.remove(x)
-    return out
-
-
-def local_search(bins: Bins, size: int) -> Bins:
-    """Exchange documents between underfull bins until none can be emptied."""
-    bins = {k: v for k, v in bins.items() if v}
-    least = -(-sum(sum(k) * v for k, v in bins.items()) // size)
-    stuck: set[tuple[int, ...]] = set()
-    while sum(bins.values()) > least:
-        donors = sorted((k for k in bins if sum(k) < size and k not in stuck), key=lambda k: (sum(k), k))
-        if not donors:
-            break
-        donor = donors[0]
-        others = [k for k in bins if sum(donor) <= sum(k) < size and (k != donor or bins[k] > 1)]
-        other, give, take = _exchange(donor, others, size)
-        if other is None:
-            stuck.add(donor)
-            continue
-        m = min(bins[donor], bins[other]) if other != donor else bins[donor] // 2
-        new_donor = tuple(sorted(_without(donor, give) + list(take), reverse=True))
-        new_other = tuple(sorted(_without(other, take) + list(give), reverse=True))
-        for k, d in ((donor, -m), (other, -m), (new_donor, m), (new_other, m)):
-            if k:
-                bins[k] = bins.get(k, 0) + d
-                if not bins[k]:
-                    del bins[k]
-        stuck.clear()
+#: Groups of pieces that the search packs, at most.
+UNIT = 1 << 14
+#: Exchanges for each of them, at most. Where that ends the search, all pieces have their
+#: places, and only more bins may be left than need be.
+EXCHANGES = 16
+
+
+def dealt(pieces: list[int], size: int) -> list[list[int]]:
+    """A plain deal: in shuffled order, each piece into the last bin or a new one."""
+    bins: list[list[int]] = []
+    room = 0
+    for x in random.Random(len(pieces)).sample(pieces, len(pieces)):
+        if room < x:
+            bins.append([])
+            room = size
+        bins[-1].append(x)
+        room -= x
     return bins
 
 
-class Places:
-    """Where the r-th piece of a length goes."""
-
-    def __init__(self, bins: Bins):
-        slots: dict[int, list[tuple[int, int, list[int]]]] = defaultdict(list)
-        base = 0
-        for lengths, number in sorted(bins.items(), reverse=True):
-            at = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-            offsets: dict[int, list[int]] = defaultdict(list)
-            for length, offset in zip(lengths, at):
-                offsets[length].append(offset)
-            for length, own in offsets.items():
-                slots[length].append((number * len(own), base, own))
-            base += number
-        self.of = {}
-        for length, rows in slots.items():
-            n = np.cumsum([r[0] for r in rows])
-            self.of[length] = (n, n - [r[0] for r in rows], np.array([r[1] for r in rows]), [np.array(r[2]) for r in rows])
-
-    def at(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bins and offsets."""
-        ends, starts, base, offsets = self.of[length]
-        row = np.searchsorted(ends, ranks, "right")
-        k = np.array([len(o) for o in offsets])[row]
-        inside = ranks - starts[row]
-        flat, first = np.concatenate(offsets), np.cumsum([0, *(len(o) for o in offsets)])
-        return base[row] + inside // k, flat[first[row] + inside % k]
+class Search:
+    """Bins of some thousands of pieces, and the exchanges between them.
+
+    Underfull bins are found by their room, and by the room that they have once
+    a certain piece of theirs is taken: the least that suffices is the next byte
+    set in a table."""
+
+    def __init__(self, bins: list[list[int]], size: int):
+        self.bins = [list(b) for b in bins]
+        self.room = [size - sum(b) for b in bins]
+        self.left = len(bins)
+        self.least = -(-sum(map(sum, bins)) // size)
+        self.most = EXCHANGES * sum(map(len, bins))
+        self.by_room: dict[int, dict[int, None]] = defaultdict(dict)  # room: bins
+        self.by_swap: dict[int, dict[tuple[int, int], None]] = defaultdict(dict)  # room without a piece: (piece, bin)
+        self.has_room, self.has_swap = bytearray(size + 1), bytearray(size + 1)
+        self.donors: dict[int, dict[int, None]] = defaultdict(dict)  # those not known to be stuck, by room
+        self.has_donor = bytearray(size + 1)
+        for b in range(len(self.bins)):
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        r = self.room[b]
+        if not r or not self.bins[b]:
+            return
+        self.by_room[r][b] = None
+        self.has_room[r] = 1
+        for t in set(self.bins[b]):
+            self.by_swap[r + t][t, b] = None
+            self.has_swap[r + t] = 1
+        self.donors[r][b] = None
+        self.has_donor[r] = 1
+
+    def leave(self, b: int) -> None:
+        r = self.room[b]
+        if not r:
+            return
+        for t in set(self.bins[b]):
+            _drop(self.by_swap, self.has_swap, r + t, (t, b))
+        _drop(self.by_room, self.has_room, r, b)
+        _drop(self.donors, self.has_donor, r, b)
+
+    def run(self) -> None:
+        done = tried = 0
+        while self.left > self.least and done < self.most:
+            r = self.has_donor.rfind(1)
+            if r < 0:  # all are stuck: again, if anything has changed since
+                if tried == done:
+                    break
+                tried = done
+                for room, some in self.by_room.items():
+                    if some:
+                        self.donors[room] = dict(some)
+                        self.has_donor[room] = 1
+                continue
+            donor = next(iter(self.donors[r]))
+            self.leave(donor)
+            found = self.move(donor) or self.swap(donor, 1) or self.swap(donor, 2) or self.one_for_two(donor)
+            if not found:
+                self.enter(donor)
+                _drop(self.donors, self.has_donor, r, donor)
+                continue
+            other, give, take = found
+            self.leave(other)
+            for b, gone, new in ((donor, give, take), (other, take, give)):
+                for x in gone:
+                    self.bins[b].remove(x)
+                self.bins[b] += new
+                self.room[b] += sum(gone) - sum(new)
+                self.enter(b)
+            self.left -= not self.bins[donor]
+            done += 1
+
+    def gains(self, donor: int, other_room: int, gain: int) -> bool:
+        """Whether the squared fills grow if so much goes from the donor to a bin with that room."""
+        return gain > other_room - self.room[donor]
+
+    def move(self, donor: int):
+        for x in sorted(set(self.bins[donor]), reverse=True):
+            r = self.has_room.find(1, x)
+            if r >= 0 and self.gains(donor, r, x):
+                return next(iter(self.by_room[r])), (x,), ()
+        return None
+
+    def swap(self, donor: int, n: int):
+        """One or two of the donor's for a shorter one: that which moves most to the fullest use of a room."""
+        own = sorted(self.bins[donor], reverse=True)
+        gives = {(x,) for x in own} if n == 1 else {(x, y) for i, x in enumerate(own) for y in own[i + 1 :]}
+        best, most = None, 0
+        for give in sorted(gives, reverse=True):
+            total = sum(give)
+            c = self.has_swap.find(1, total)
+            while c >= 0:
+                t, b = min(self.by_swap[c])
+                if total - t > most and self.gains(donor, self.room[b], total - t):
+                    best, most = (b, give, (t,)), total - t
+                if t < total:
+                    break
+                c = self.has_swap.find(1, c + 1)
+        return best
+
+    def one_for_two(self, donor: int):
+        """One of the donor's for two shorter ones that leave it the most to give."""
+        best, most = None, 0
+        for r, some in self.by_room.items():
+            for b in some:
+                own = sorted(self.bins[b])
+                for x in set(self.bins[donor]):
+                    i, j = 0, len(own) - 1
+                    while i < j:  # the least pair that makes room enough
+                        pair = own[i] + own[j]
+                        if r + pair < x:
+                            i += 1
+                            continue
+                        if x - pair > most and self.gains(donor, r, x - pair):
+                            best, most = (b, (x,), (own[i], own[j])), x - pair
+                        j -= 1
+        return best
+
+
+def _drop(by: dict, has: bytearray, key: int, value) -> None:
+    by[key].pop(value, None)
+    if not by[key]:
+        has[key] = 0
+
+
+class Packing:
+    """Where each of so many pieces of each length goes."""
+
+    def __init__(self, counts: dict[int, int], size: int, unit: int = UNIT):
+        self.lengths = np.array(sorted((k for k, n in counts.items() if n), reverse=True), np.int64)
+        #: How many pieces are longer, or as long, as each length.
+        self.ends = np.cumsum([counts[k] for k in self.lengths.tolist()], dtype=np.int64)
+        n = int(self.ends[-1]) if len(self.ends) else 0
+        self.copies = max(1, -(-n // unit))
+        groups = self.length_at(np.arange(0, n, self.copies))
+        first = dealt(groups.tolist(), size)
+        search = Search(first, size)
+        search.run()
+        #: Bins dealt, left by the search, and the least that could hold the groups.
+        self.dealt, self.left, self.least = len(first), search.left, search.least
+        of: dict[int, list[int]] = defaultdict(list)
+        for g, length in enumerate(groups.tolist()):
+            of[length].append(g)
+        bins = [sorted(of[x].pop() for x in some) for some in search.bins if some]
+        sizes = np.array([len(b) for b in bins], np.int64)
+        #: The groups of all bins, bin after bin; each group's bin, and how many of the bin's come before it.
+        self.slots = np.array([g for b in bins for g in b], np.int64)
+        self.bin, self.before = np.empty(len(groups), np.int64), np.empty(len(groups), np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        self.bin[self.slots] = np.repeat(np.arange(len(bins)), sizes)
+        self.before[self.slots] = np.arange(len(self.slots)) - np.repeat(self.first, sizes)
+
+    def length_at(self, ranks: np.ndarray) -> np.ndarray:
+        """The length of the piece of each rank, long ones first; 0 beyond the last."""
+        return np.append(self.lengths, 0)[np.searchsorted(self.ends, ranks, "right")]
+
+    def at(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces of these lengths, by their ranks among those of their length."""
+        row = np.searchsorted(-self.lengths, -lengths)
+        group, copy = np.divmod(np.append(0, self.ends)[row] + ranks, self.copies)
+        b, before = self.bin[group], self.before[group]
+        earlier = self.slots[_spread(self.first[b], before)]
+        sizes = np.append(0, np.cumsum(self.length_at(earlier * self.copies + np.repeat(copy, before))))
+        ends = np.cumsum(before)
+        return b * self.copies + copy, sizes[ends] - sizes[ends - before]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -192,19 +262,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     # rows: at most `size` lengths
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = Places(local_search(best_fit(counts, size), size))
+    packing = Packing(counts, size)
     before = by_part.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
 
     def place(batches):
         for b in batches:
             length = b.column("length").to_numpy()
             rank = b.column("own_rank").to_numpy() + b.column("before").to_numpy()
-            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            heads = np.flatnonzero(np.diff(length[order], prepend=-1))
-            for i, j in zip(heads, np.append(heads[1:], len(order))):
-                at = order[i:j]
-                sequence[at], offset[at] = places.at(int(length[at[0]]), rank[at])
+            sequence, offset = packing.at(length, rank)
             yield pa.record_batch([*(b.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     joined = cut.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "own_rank", "before")
