@@ -14,7 +14,7 @@ from yearbook.functions.similarity import common_subsequence, token_sort_ratio
 from yearbook.operators import changes as C
 from yearbook.operators import mutate as M
 from yearbook.operators import summaries as S
-from yearbook.operators.graph import components
+from yearbook.operators.graph import components, lookup, shares
 from yearbook.operators.latest import country_names, first_per_group
 from yearbook.operators.resolve import resolve_entities
 from yearbook.operators.search import search
@@ -183,3 +183,20 @@ def test_capacity_other(spark):
     rows = spark.createDataFrame([(2023, f"C{i}", float(i)) for i in range(1, 4)] + [(2024, "C3", 1.5)], "year int, country_iso3 string, total_bsl4_area_m2 double")
     assert sorted(tuple(r) for r in S.capacity_top_n(rows, 2).collect()) == [(2023, "C2", 2.0), (2023, "C3", 3.0), (2023, "OTHER", 1.0), (2024, "C2", 0.0), (2024, "C3", 1.5), (2024, "OTHER", 0.0)]
     assert "OTHER" not in {r["series"] for r in S.capacity_top_n(rows, 3).collect()}
+
+
+def test_hubs_stay_spread(spark):
+    n = 100_000
+    star = spark.range(1, n).selectExpr("id AS a", f"IF(id % 2 = 0, 0, {n}) AS b").unionByName(spark.createDataFrame([(n, 4)], "a long, b long"))
+    got = components(star.repartition(8)).groupBy("root").count().collect()
+    assert [tuple(r) for r in got] == [(0, n + 1)]
+    rows = spark.range(n).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id AS v").repartition(8)
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    met = lookup(rows, table, "k", "n", n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with partitions that are worth a task
+    try:
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n and max(sizes) <= n // 5 and shares(rows, n) == n // 16
+    assert met.where("k = -1").agg(F.count("*"), F.min("top"), F.max("top")).first() == (n // 3 + 1, n - 1, n - 1)
