@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, lookup
 from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
 from .simhash import _spread, forest, shingled
 from .textbytes import mix, parts
@@ -151,8 +151,8 @@ def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) ->
                 yield pa.record_batch({"node": rows.column(0), "root": rows.column(1), "n": pa.array(np.diff(at), pa.int64()), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
     sets = written(texts.select("node", "root", "text").mapInArrow(shingles, "node long, root long, n long, shingles binary"))
-    total = sets.groupBy("root").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
-    dealt = sets.join(total, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    total = sets.groupBy("root").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"), F.count("*").alias("sets"))
+    dealt = lookup(sets, total, "root", "sets", sets.count()).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # each part meets each other one; groups of one part share cells
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))).alias("other")
     cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(n))).otherwise(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))).alias("cell")

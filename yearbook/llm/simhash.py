@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, lookup
 from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
 from .textbytes import LOWER, Buffer, mix, parts, words_of
 from .xxh import xxh64
@@ -302,8 +302,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col).drop("carried"))
-    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     placed = written(grouped(prints, most).join(least, "fingerprint"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(ids, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    # a component may have any share of the fingerprints, and a fingerprint any share of the rows
+    ids = written(lookup(placed, named, "root", "m", placed.count()).select("fingerprint", "component_id", "n"))
+    return lookup(prints, ids, "fingerprint", "n", prints.count()).select("doc_id", "fingerprint", "component_id")
