@@ -56,12 +56,18 @@ class Sizes:
         self.buckets = max(least, -(-total // BUCKET_BYTES))
 
 
+def text_bytes(df: DataFrame, column: str) -> int:
+    return df.agg(F.sum(F.octet_length(column)) + F.count("*") * 16).first()[0] or 0
+
+
 class Chunks:
-    """A table dealt into chunks: the input's columns and `chunk`, bucketed by it."""
+    """A table dealt into chunks: the input's columns and `chunk`, bucketed by it.
+
+    total: about how many bytes of text there are, if that is known."""
 
-    def __init__(self, df: DataFrame, text_col: str = "text"):
+    def __init__(self, df: DataFrame, text_col: str = "text", total: int | None = None):
         spark = df.sparkSession
-        sizes = Sizes(spark, df.agg(F.sum(F.octet_length(text_col)) + F.count("*") * 16).first()[0] or 0)
+        sizes = Sizes(spark, text_bytes(df, text_col) if total is None else total)
         self.buckets, self.shards = sizes.buckets, sizes.shards
         text, most = df.columns.index(text_col), sizes.chunk
 
