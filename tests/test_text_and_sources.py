@@ -103,6 +103,7 @@ def test_portal(spark):
     got = spark.read.format("portal").option("url", f"http://127.0.0.1:{server.server_port}").option("size", 3).load().collect()
     server.shutdown()
     assert sorted((r["report_id"], r["year"], r["language"]) for r in got) == [("1", None, "en"), ("2", 2020, "fr"), ("4", 2020, "en"), ("5", 2020, "en")]
+    assert {(r["type"], r["source_url"]) for r in got} == {("un", f"http://127.0.0.1:{server.server_port}/report/detail/{i}") for i in (1, 2, 4, 5)}
 
 
 def test_streams(spark, sf, tmp_path):
@@ -138,3 +139,35 @@ def test_small_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, True, False, "a"), (2, True, False, "a"), (3, False, False, "b"), (4, False, True, "c")], "n int, downloaded boolean, is_amendment boolean, id string")
     assert sorted(r["n"] for r in K.loadable(rows, "n").collect()) == [1, 4]
     assert set(R.checks(spark.createDataFrame([], R.SCHEMAS["defence_facilities"]))) >= {"confidence from 0 to 1", "year from 1980 to 2099", "personnel_total not negative"}
+
+
+def test_form_tables(spark):
+    rows = [("Confidence Building Measure a, part 2", "A2"), ("MESURE DE CONFIANCE « B »", "B"), ("Medida de fomento de la confianza \u201cA\u201d: Parte 1", "A1"), ("Formulaire A - Partie 1", "A1"), ("Форма B, итоги", "B"), ("форма a часть 2", "A2"), ("2. CONFIDENCE-BUILDING MEASURE \"A\":", "A1"), ("Information on outbreaks of infectious diseases", "B"), ("Form BC", None), ("Performance B", None)]
+    got = spark.createDataFrame(rows, "line string, form string").select("line", "form", T.page_form(F.col("line")).alias("own")).collect()
+    assert [r["own"] for r in got] == [f for _, f in rows]
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    # the header of field one in its template form is no record
+    assert one(T.sections(F.lit("x\n1. Nom de lieu\nA\n2. y\n3. Наименование(я) объекта\n4. Наименование объекта z"))) == ["1. Nom de lieu\nA\n2. y\n3. Наименование(я) объекта", "4. Наименование объекта z"]
+    assert one(T.sections(F.lit(" none "))) == ["none"] and one(T.sections(F.lit("none"), whole=False)) == [] and one(T.sections(F.lit(None).cast("string"))) == []
+    long = "Defence\n" + "1. State the objectives\n" + "o" * 3000 + "\n2. State the total funding: 5\n1. What is the name of the facility\nLab\n(viii) Provide a list of publicly available\n" + "p" * 5000 + "\n5. Briefly describe the biological defence work\n" + "w" * 2000
+    made = one(T.programme_sections(F.lit(long)))
+    assert made["preamble"] == "" and made["sections"][0].startswith("Defence\n1. State") and made["sections"][0].endswith("[...objectives truncated...]\n\n2. State the total funding: 5") and len(made["sections"]) == 2
+    assert made["sections"][1] == "1. What is the name of the facility\nLab\n\n\n5. Briefly describe the biological defence work\n" + "w" * 1452
+    assert one(T.programme_chunks(F.lit(" ab "), 1)) == ["a", "b"] and one(T.programme_chunks(F.lit(None).cast("string"))) == []
+    assert one(T.nothing_to_declare(F.lit("--- PAGE 1 ---\n" * 200 + "Nothing to declare"))) is True
+
+
+def test_records_count_through_files(spark, tmp_path):
+    for name, n in (("b", 2), ("a", 3), ("c", 1)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"id": f"{name}{i}", "facilities": [{"n": j} for j in range(2)]} for i in range(n)]))
+    got = R.listed(R.read_records(spark, str(tmp_path / "*.json"), "id string, facilities array<struct<n:int>>"), "facilities").orderBy("place").collect()
+    assert [(r["place"], r["id"], r["record"]["n"]) for r in got] == [(2 * k + j, d, j) for k, d in enumerate(["a0", "a1", "a2", "b0", "b1", "c0"]) for j in range(2)]
+
+
+def test_default_anchors(spark):
+    from yearbook.operators.resolve import resolve_entities
+
+    names = [(0, "CAN", "The National Microbiology Laboratory", 2010), (1, "CAN", "National Microbiology Laboratory, Public Health Agency, Canadian Science Centre", 2011), (2, "USA", "National Microbiology Laboratory", 2011), (3, "CAN", "Other", 2011)]
+    rows = spark.createDataFrame(names, "place long, country_iso3 string, name string, year int")
+    ids = lambda **k: [r["canonical_id"] for r in resolve_entities(rows, **k).orderBy("place").collect()]
+    assert ids() == ["CAN_001", "CAN_001", "USA_001", "CAN_002"] and ids(anchors=()) == ["CAN_001", "CAN_002", "USA_001", "CAN_003"] and ids(kind="G") == ["CAN_V001", "CAN_V002", "USA_V001", "CAN_V003"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import join_list
 from .summaries import FORMS
 
 CATEGORIES = ("prohibitions", "exports", "imports", "biosafety")
@@ -61,6 +62,58 @@ def flatten_facilities(records: DataFrame) -> DataFrame:
     )
 
 
+def _each(records: DataFrame, column: str) -> DataFrame:
+    """A row for each of the nested records f, with its place from 0, and what its metadata say."""
+    meta = "f.extraction_metadata"
+    rows = records.select(F.col("id").alias("document_id"), F.posexplode(column).alias("place", "f"))
+    return rows.select("document_id", "place", F.col(f"{meta}.country_iso3").alias("country_iso3"), F.col(f"{meta}.year").alias("year"), F.col(f"{meta}.language").alias("language"), "f")
+
+
+def _fields(*names: str, kind: str = "") -> list[Column]:
+    return [(F.col(f"f.{n}").cast(kind) if kind else F.col(f"f.{n}")).alias(n) for n in names]
+
+
+def _confidence() -> Column:
+    return F.col("f.confidence").cast("decimal(4,3)").alias("confidence")
+
+
+_KEYS = ("document_id", "place", "country_iso3", "year")
+
+
+def flatten_vaccines(records: DataFrame, column: str = "facilities") -> DataFrame:
+    """Nested vaccine facilities, a row each; a record that does not say whether it is translated is so unless in English."""
+    place = [F.col("f.location.city").alias("city"), F.col("f.location.address").alias("address")]
+    translated = F.coalesce(F.col("f.translated"), F.coalesce("language", F.lit("en")) != "en").alias("translated")
+    return _each(records, column).select(*_KEYS, *_fields("facility_name"), *place, *_fields("diseases_covered"), join_list(F.col("f.vaccines")).alias("vaccines_summary"), _confidence(), translated)
+
+
+def flatten_defence_programmes(records: DataFrame, column: str = "programmes") -> DataFrame:
+    """Nested defence programmes, a row each; research areas become one text."""
+    return _each(records, column).select(
+        *_KEYS, *_fields("programme_name", "responsible_org", "objectives_summary"), join_list(F.col("f.research_areas")).alias("research_areas"), *_fields("total_funding_amount", kind="decimal(15,2)"),
+        *_fields("total_funding_currency", "uses_contractors"), *_fields("contractor_proportion_pct", kind="decimal(5,2)"), _confidence(), *_fields("translated"),
+    )
+
+
+def flatten_defence_facilities(records: DataFrame, column: str = "facilities") -> DataFrame:
+    """Nested defence facilities, a row each."""
+    return _each(records, column).select(
+        *_KEYS, *_fields("facility_name"), F.col("f.location.city").alias("city"), F.col("f.location.address").alias("address"),
+        *_fields("bsl2_area_m2", "bsl3_area_m2", "bsl4_area_m2", "total_lab_area_m2", kind="decimal(10,2)"),
+        *_fields("personnel_total", "personnel_military", "personnel_civilian", "personnel_scientists", "personnel_engineers", "personnel_technicians", "personnel_admin", kind="int"),
+        *_fields("mod_funded", "funding_source"), *_fields("funding_research", "funding_development", "funding_te", kind="decimal(15,2)"), *_fields("funding_currency", "work_description"), _confidence(), *_fields("translated"),
+    )
+
+
+def flatten_past_programmes(records: DataFrame) -> DataFrame:
+    """A record a document; those that answer neither question are stubs and left out. What the metadata lack, the record says."""
+    meta = "extraction_metadata"
+    return records.where("has_offensive_programme IS NOT NULL OR has_defensive_programme IS NOT NULL").select(
+        F.coalesce(f"{meta}.source_id", "id").alias("document_id"), *(F.coalesce(f"{meta}.{c}", c).alias(c) for c in ("country_iso3", "year")), "convention_entry_date", "has_offensive_programme", "offensive_period", "offensive_summary",
+        "has_defensive_programme", "defensive_period", "defensive_summary", "translated", F.col("confidence").cast("decimal(4,3)").alias("confidence"), "notes",
+    )
+
+
 def differing_fields(full: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
     """(key, field, full, other) wherever two versions of a record differ; null equals null."""
     fields = [c for c in full.columns if c != key]

@@ -20,6 +20,8 @@ from .graph import components
 
 #: The least similarity of names, and of names declared in one year.
 THRESHOLD, SAME_YEAR = 85.0, 95.0
+#: Laboratories whose formal names have grown and shrunk beyond likeness (form A1).
+ANCHORS = (("CAN", "National Microbiology Laboratory"), ("CAN", "National Centre for Foreign Animal Disease"))
 FORMATS = {"A1": "%s_%03d", "G": "%s_V%03d", "A2": "%s_D%03d"}
 
 
@@ -38,13 +40,13 @@ def alike(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select("a", "b", sorted_ratio("words_a", "words_b").alias("score")).where(F.col("score") >= threshold)
 
 
-def resolve_entities(records: DataFrame, kind: str = "A1", anchors: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+def resolve_entities(records: DataFrame, kind: str = "A1", anchors: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(place, canonical_id) of each record.
 
     records: place (a distinct number that orders them), country_iso3, name,
     year. Names link at 85 or more, at 95 or more if both are declared in one
     year only, the same; an empty or unknown name links to none; names that
-    hold an anchor (country, text in any case) are one. Entities of a country
+    hold an anchor (country, text in any case; for A1 there are some by default) are one. Entities of a country
     are numbered by their first record. A missing country is UNK.
     """
     rows = records.select("place", F.coalesce("country_iso3", F.lit("UNK")).alias("block"), F.coalesce("name", F.lit("")).alias("name"), F.nullif("year", F.lit(0)).alias("year")).withColumn("words", sorted_words(F.col("name")))
@@ -55,7 +57,7 @@ def resolve_entities(records: DataFrame, kind: str = "A1", anchors: tuple[tuple[
     dated = pairs.join(when("a"), "a").join(when("b"), "b")
     one_year = ~F.col("a_years.undated") & ~F.col("b_years.undated") & (F.col("a_years.first") == F.col("a_years.last")) & (F.col("b_years.first") == F.col("b_years.last")) & (F.col("a_years.first") == F.col("b_years.first"))
     edges = dated.where((F.col("score") >= SAME_YEAR) | ~F.coalesce(one_year, F.lit(False))).select("a", "b")
-    for country, text in anchors:
+    for country, text in ANCHORS if anchors is None and kind == "A1" else anchors or ():
         held = names.where((F.col("block") == country) & F.exists("spellings", lambda s: s.contains(text.lower()))).select("name_id")
         first = held.agg(F.min("name_id").alias("a"))
         edges = edges.union(held.crossJoin(first).select("a", F.col("name_id").alias("b")))

@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import forms
+
 #: Phrases by which a section says that there is nothing to declare.
 NOTHING = r"(?i)nothing\s+(new\s+)?to\s+declare|nothing\s+to\s+report|no\s+declaration\s+(is\s+)?required|no\s+activities\s+to\s+report"
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def nothing_to_declare(text: Column, below: int = 2000) -> Column:
-    """Whether a section says so, and is short."""
-    return F.coalesce(text.rlike(NOTHING) & (F.length(F.trim(text)) < below), F.lit(False))
+    """Whether a section says so, and is short: page marks and white space at its ends do not count."""
+    content = stripped(F.regexp_replace(text, r"(?m)^--- PAGE \d+ ---$", ""))
+    return F.coalesce(content.rlike(NOTHING) & (F.length(content) < below), F.lit(False))
 
 
 def pages(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -33,19 +40,19 @@ def _lines(text: Column) -> Column:
 
 
 def _first_form(line: Column, anchors: list[tuple[str, str]], at_start: bool) -> Column:
-    """The form of the first pattern that a line matches."""
+    """The form of the first pattern that a line matches; most lines match none, which one pattern tells."""
     out = F.lit(None).cast("string")
-    for form, pattern in reversed(anchors):
-        own = f"^(?:{pattern})" if at_start else pattern
-        out = F.when(line.rlike(own), form).otherwise(out)
-    return out
+    own = [(form, f"^(?:{pattern})" if at_start else f"(?:{pattern})") for form, pattern in anchors]
+    for form, pattern in reversed(own):
+        out = F.when(line.rlike(pattern), form).otherwise(out)
+    return F.when(line.rlike("|".join(pattern for _, pattern in own)), out) if own else out
 
 
 def _first_hit(items: Column, form_of) -> Column:
     return F.get(F.filter(F.transform(items, form_of), lambda f: f.isNotNull()), F.lit(0))
 
 
-def page_form(text: Column, anchors: list[tuple[str, str]], pairs: list[tuple[str, str]] = ()) -> Column:
+def page_form(text: Column, anchors: list[tuple[str, str]] = forms.FORM_ANCHORS, pairs: list[tuple[str, str]] = forms.FORM_PAIRS) -> Column:
     """The form that a page begins: by one of its first five lines, else by two lines in a row."""
     head = F.slice(F.transform(_lines(text), lambda x: x.getField("line")), 1, 6)
     single = _first_hit(F.slice(head, 1, 5), lambda x: _first_form(x, list(anchors), True))
@@ -55,14 +62,14 @@ def page_form(text: Column, anchors: list[tuple[str, str]], pairs: list[tuple[st
     return F.coalesce(single, F.when(F.size(head) > 1, _first_hit(F.slice(two, 1, 5), lambda x: _first_form(x, list(pairs), False))))
 
 
-def later_anchor(text: Column, anchors: list[tuple[str, str]]) -> Column:
+def later_anchor(text: Column, anchors: list[tuple[str, str]] = forms.FORM_ANCHORS) -> Column:
     """(form, line) of the first anchor after the first five lines, or null."""
     rest = _lines(text)
     hits = F.filter(F.transform(F.slice(rest, 6, F.greatest(F.size(rest), F.lit(1))), lambda x: F.struct(_first_form(x.getField("line"), list(anchors), True).alias("form"), x.getField("i").alias("i"))), lambda h: h.getField("form").isNotNull())
     return F.get(hits, F.lit(0))
 
 
-def segments(pages_df: DataFrame, anchors: list[tuple[str, str]], pairs: list[tuple[str, str]] = (), key: str = "id") -> DataFrame:
+def segments(pages_df: DataFrame, anchors: list[tuple[str, str]] = forms.FORM_ANCHORS, pairs: list[tuple[str, str]] = forms.FORM_PAIRS, key: str = "id") -> DataFrame:
     """A row a document and form: its text, and confidence high for three forms or more in the document.
 
     A page belongs to the form that it begins, or else to the form before it; a
@@ -87,12 +94,49 @@ def form_coverage(segmented: DataFrame) -> DataFrame:
     return segmented.groupBy("form").agg(F.count("*").alias("documents"))
 
 
-def sections(text: Column, marker: str) -> Column:
-    """The parts that begin with a line that matches marker, trimmed; without one, the whole text, or nothing."""
+def sections(text: Column, marker: str = forms.FACILITY, whole: bool = True) -> Column:
+    """The parts that begin with a line that matches marker, trimmed; without one, the whole text if asked for, or nothing."""
     parts = F.split(F.coalesce(text, F.lit("")), f"(?m)(?={marker})")
     begins = F.filter(parts, lambda p: p.rlike(f"(?m)\\A(?:{marker})"))
-    whole = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(F.size(begins) > 0, F.transform(begins, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+    out, rest = F.when(F.size(begins) > 0, F.transform(begins, stripped)), stripped(F.coalesce(text, F.lit("")))
+    return (out.when(rest != "", F.array(rest)) if whole else out).otherwise(F.array().cast("array<string>"))
+
+
+def programme_sections(text: Column) -> Column:
+    """(preamble, sections) of a second part of form A.
+
+    A section begins at a programme's or a facility's first field; a programme's
+    own heading lies before it, so it reaches back some characters. Programmes
+    lose what lies between the beginning of their objectives and the funding,
+    facilities their list of publications."""
+    begin = f"(?:{forms.PROGRAMME})|(?:{forms.DEFENCE_FACILITY})"
+    parts = F.split(F.coalesce(text, F.lit("")), f"(?m)(?={begin})")
+    none = F.array().cast("array<struct<at:int,programme:boolean>>")
+
+    def add(acc, part):
+        programme = part.rlike(f"(?m)\\A(?:{forms.PROGRAMME})")
+        here = F.struct(F.when(programme, F.greatest(acc["at"] - forms.PROGRAMME_LOOKBACK, F.lit(0))).otherwise(acc["at"]).cast("int").alias("at"), programme.alias("programme"))
+        found = F.when(part.rlike(f"(?m)\\A(?:{begin})"), F.concat(acc["found"], F.array(here))).otherwise(acc["found"])
+        return F.struct((acc["at"] + F.length(part)).cast("int").alias("at"), found.alias("found"))
+
+    found = F.aggregate(parts, F.struct(F.lit(0).cast("int").alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+    places = F.array_sort(F.array_distinct(F.transform(found, lambda f: f.getField("at"))))
+    programmes = F.transform(F.filter(found, lambda f: f.getField("programme")), lambda f: f.getField("at"))
+
+    def section(at, i):
+        own = stripped(F.substring(text, at + 1, F.coalesce(F.get(places, i + 1), F.length(text)) - at))
+        return F.when(F.array_contains(programmes, at), shortened(own, forms.FUNDING, forms.OBJECTIVES_MOST)).otherwise(without_list(own, forms.PUBLICATIONS, forms.WORK, forms.WORK_MOST))
+
+    first = F.coalesce(F.get(places, F.lit(0)), F.lit(0))
+    return F.struct(stripped(F.substring(text, F.lit(1), first)).alias("preamble"), F.transform(places, section).alias("sections"))
+
+
+def programme_chunks(text: Column, most: int = forms.A2_CHUNK) -> Column:
+    """Chunks of a second part of form A: the end of its preamble, then its sections; without any, pieces of its text."""
+    made = programme_sections(text)
+    before, some = made.getField("preamble"), made.getField("sections")
+    preamble = F.when(before != "", F.array(F.right(before, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(some) > 0, F.concat(preamble, chunks(some, most))).otherwise(fixed_chunks(stripped(F.coalesce(text, F.lit(""))), most))
 
 
 def chunks(parts: Column, most: int) -> Column:

@@ -166,14 +166,15 @@ query("vaccine_spans", "SELECT id, array_to_string(CASE WHEN first_year <= last_
 # --- search and changes --------------------------------------------------------------
 
 query("search", f"""
-WITH {NAMES}, every AS (
-SELECT canonical_facility_id AS id, canonical_name AS name, country_iso3, latest_containment, array_to_string(years_declared, '|') AS years_declared, 'A1' AS layer,
-  CASE WHEN canonical_name ILIKE '%{TERM}%' OR len(list_filter(all_names, lambda x: x ILIKE '%{TERM}%')) > 0 THEN 'name' ELSE 'activity' END AS match_type,
-  (SELECT left(agents_summary, 200) FROM r_facility_years y WHERE y.canonical_facility_id = f.canonical_facility_id AND agents_summary ILIKE '%{TERM}%' ORDER BY year DESC, document_id DESC, y.id DESC LIMIT 1) AS activity_snippet
-FROM r_facilities f WHERE canonical_name ILIKE '%{TERM}%' OR len(list_filter(all_names, lambda x: x ILIKE '%{TERM}%')) > 0 OR EXISTS (FROM r_facility_years y WHERE y.canonical_facility_id = f.canonical_facility_id AND agents_summary ILIKE '%{TERM}%')
+WITH {NAMES}, active AS (
+SELECT canonical_facility_id, first(left(agents_summary, 200) ORDER BY year DESC, document_id DESC, id DESC) AS activity_snippet FROM r_facility_years WHERE agents_summary ILIKE '%{TERM}%' GROUP BY 1), named AS (
+SELECT *, coalesce(canonical_name ILIKE '%{TERM}%', false) OR len(list_filter(all_names, lambda x: x ILIKE '%{TERM}%')) > 0 AS by_name FROM r_facilities), every AS (
+SELECT n.canonical_facility_id AS id, canonical_name AS name, country_iso3, latest_containment, array_to_string(years_declared, '|') AS years_declared, 'A1' AS layer, CASE WHEN by_name THEN 'name' ELSE 'activity' END AS match_type, activity_snippet
+FROM named n LEFT JOIN active a ON a.canonical_facility_id = n.canonical_facility_id WHERE by_name OR activity_snippet IS NOT NULL
 UNION ALL SELECT id, canonical_name, country_iso3, NULL, array_to_string(CASE WHEN first_year <= last_year THEN generate_series(first_year, last_year) ELSE [] END, '|'), 'G', 'name', NULL FROM r_vaccine_facilities WHERE canonical_name ILIKE '%{TERM}%'
-UNION ALL SELECT DISTINCT NULL, facility_name, country_iso3, NULL, NULL, 'A2', 'name', NULL FROM r_defence_facilities WHERE facility_name ILIKE '%{TERM}%')
-SELECT id, name, country_iso3, latest_containment, years_declared, layer, country_name, match_type, activity_snippet FROM every LEFT JOIN names USING (country_iso3) ORDER BY name NULLS LAST, layer, id NULLS LAST, country_iso3 LIMIT 20""")(
+UNION ALL SELECT DISTINCT NULL, facility_name, country_iso3, NULL, NULL, 'A2', 'name', NULL FROM r_defence_facilities WHERE facility_name ILIKE '%{TERM}%'), top AS (
+SELECT * FROM every ORDER BY name NULLS LAST, layer, id NULLS LAST, country_iso3 LIMIT 20)
+SELECT t.id, t.name, t.country_iso3, t.latest_containment, t.years_declared, t.layer, n.country_name, t.match_type, t.activity_snippet FROM top t LEFT JOIN names n ON n.country_iso3 = t.country_iso3""")(
     lambda t: search(t, TERM).withColumn("years_declared", text("years_declared"))
 )
 

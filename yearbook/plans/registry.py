@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import entity_queries, fixed_queries, spec_queries, text_queries  # noqa: F401
+    from . import entity_queries, fixed_queries, source_queries, spec_queries, text_queries  # noqa: F401

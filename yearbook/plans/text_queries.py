@@ -20,9 +20,11 @@ query("text_chunk_rows", """SELECT doc_id, CAST(place AS INT) AS place, substrin
 FROM (SELECT doc_id, text, unnest(range(CAST(ceil(len(text) / 1000.0) AS BIGINT))) AS place FROM documents)""")(
     lambda t: _documents(t).select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"), 1000)).alias("place", "chunk"))
 )
-query("nothing_to_declare", r"""SELECT doc_id, regexp_matches(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Nothing new  to declare' ELSE '' END), '(?i)nothing\s+(new\s+)?to\s+declare|nothing\s+to\s+report|no\s+declaration\s+(is\s+)?required|no\s+activities\s+to\s+report')
-  AND len(trim(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' Nothing new  to declare' ELSE '' END))) < 2000 AS nothing FROM documents""")(
-    lambda t: _documents(t).select("doc_id", T.nothing_to_declare(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Nothing new  to declare").otherwise(""))).alias("nothing"))
+_NTD = "concat('--- PAGE 1 ---', chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Nothing new  to declare.' ELSE '.' END)"
+_CONTENT = rf"regexp_replace(regexp_replace({_NTD}, '(?m)^--- PAGE \d+ ---$', '', 'g'), '^\s+|\s+$', '', 'g')"
+query("nothing_to_declare", rf"""SELECT doc_id, regexp_matches({_CONTENT}, '(?i)nothing\s+(new\s+)?to\s+declare|nothing\s+to\s+report|no\s+declaration\s+(is\s+)?required|no\s+activities\s+to\s+report')
+  AND len({_CONTENT}) < 2000 AS nothing FROM documents""")(
+    lambda t: _documents(t).select("doc_id", T.nothing_to_declare(F.concat(F.lit("--- PAGE 1 ---\n"), "text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "Nothing new  to declare.").otherwise("."))).alias("nothing"))
 )
 query("organism_tokens", "SELECT p_partkey, array_to_string(CASE WHEN len(p_type) > 3 AND p_name <> p_type THEN [p_name, p_type] ELSE [p_name] END, '|') AS tokens FROM part")(
     lambda t: t._table("part").select("p_partkey", F.array_join(X.organism_tokens(F.concat_ws("; ", "p_name", "p_type", F.lit("abc"), "p_name")), "|").alias("tokens"))

@@ -49,10 +49,22 @@ def pending(entries: DataFrame, texts: DataFrame, outputs: DataFrame) -> DataFra
     return some.join(texts.select("id"), "id", "left_semi").join(outputs.select("id"), "id", "left_anti")
 
 
-def ocr_engine(language):
-    """Which engine reads a language, and under what name."""
-    names = F.create_map(*(F.lit(x) for pair in (("en", "eng"), ("fr", "fra"), ("es", "spa"), ("ru", "rus")) for x in pair))
-    return F.when(language.isin("ar", "zh"), F.lit("vision")).otherwise(F.concat(F.lit("tesseract:"), F.coalesce(names[language], F.lit("eng"))))
+#: Languages and what the local engine calls them; and those that the hosted one reads better.
+TESSERACT = {
+    "en": "eng", "fr": "fra", "es": "spa", "pt": "por",
+    "de": "deu", "nl": "nld", "ru": "rus", "uk": "ukr",
+    "ar": "ara", "zh": "chi_sim", "ja": "jpn", "ko": "kor",
+    "da": "dan", "sv": "swe", "fi": "fin", "no": "nor",
+    "pl": "pol", "cs": "ces", "ro": "ron", "hu": "hun",
+}
+VISION = ("ar", "zh")
+
+
+def ocr_engine(language, vision: bool = True):
+    """Which engine reads a language, and under what name; vision: whether the hosted engine can be had."""
+    names = F.create_map(*(F.lit(x) for pair in TESSERACT.items() for x in pair))
+    local = F.concat(F.lit("tesseract:"), F.coalesce(names[language], F.lit("eng")))
+    return F.when(language.isin(*VISION), F.lit("vision")).otherwise(local) if vision else local
 
 
 def needs_ocr(pages: DataFrame, least: int = 100) -> DataFrame:

@@ -14,7 +14,7 @@ import urllib.request
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Languages that the service names, and their codes; others by their first two letters.
-CODES = {"english": "en", "french": "fr", "spanish": "es", "russian": "ru", "arabic": "ar", "chinese": "zh", "german": "de", "portuguese": "pt"}
+CODES = {"english": "en", "french": "fr", "spanish": "es", "arabic": "ar", "chinese": "zh", "russian": "ru", "german": "de", "portuguese": "pt"}
 
 
 def page(url: str, start: int, size: int) -> dict:
@@ -24,14 +24,14 @@ def page(url: str, start: int, size: int) -> dict:
         return json.loads(answer.read())
 
 
-def row(hit: dict) -> tuple | None:
-    """A public report; null for others."""
+def row(hit: dict, detail: str = "") -> tuple | None:
+    """A public report, with the address of its own page under detail; null for others."""
     source = hit["_source"]
     if source.get("access") != "public":
         return None
     language = (source.get("language") or "english").lower()
     year = source.get("year")
-    return str(source["id"]), source["country"]["iso"], source["country"]["name"], int(year) if year else None, CODES.get(language, language[:2])
+    return str(source["id"]), source["country"]["iso"], source["country"]["name"], int(year) if year else None, CODES.get(language, language[:2]), "un", f"{detail}{source['id']}"
 
 
 class Portal(DataSource):
@@ -40,10 +40,11 @@ class Portal(DataSource):
         return "portal"
 
     def schema(self) -> str:
-        return "report_id string, country_iso3 string, country string, year int, language string"
+        return "report_id string, country_iso3 string, country string, year int, language string, type string, source_url string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["url"], int(self.options.get("size", 100)))
+        url = self.options["url"]
+        return _Reader(url, int(self.options.get("size", 100)), self.options.get("detail", f"{url.rstrip('/')}/report/detail/"))
 
 
 class _Page(InputPartition):
@@ -52,8 +53,8 @@ class _Page(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, url: str, size: int):
-        self.url, self.size = url, size
+    def __init__(self, url: str, size: int, detail: str):
+        self.url, self.size, self.detail = url, size, detail
 
     def partitions(self) -> list[InputPartition]:
         total = page(self.url, 0, 1).get("total", 0)
@@ -62,5 +63,5 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Page):
         for hit in page(self.url, partition.start, self.size).get("hits", []):
-            if found := row(hit):
+            if found := row(hit, self.detail):
                 yield found

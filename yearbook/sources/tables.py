@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BOOLS = ", ".join(f"{c}_{m} boolean" for c in ("prohibitions", "exports", "imports", "biosafety") for m in ("legislation", "regulations", "other_measures", "amended"))
@@ -55,6 +56,19 @@ def read_records(spark: SparkSession, pattern: str, schema: str, skipped: DataFr
     return records if skipped is None else records.join(skipped.select("id"), "id", "left_anti")
 
 
+def listed(records: DataFrame, column: str) -> DataFrame:
+    """The nested records of files, a row each, with `place`: a number that orders them by file and by their order in it.
+
+    Ids that depend on the order of arrival count by it."""
+    # a file is read by one task, in order: within it, the number of a row grows
+    rows = records.withColumn("row", F.monotonically_increasing_id()).select("file", "row", *(c for c in records.columns if c not in ("file", column)), F.posexplode(column).alias("at", "record"))
+    own = rows.withColumn("own", F.row_number().over(W.partitionBy("file").orderBy("row", "at")))
+    # a row a file: the running total orders files, not records
+    count = own.groupBy("file").agg(F.max("own").alias("n"))
+    base = count.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("base"))
+    return own.join(base, "file").withColumn("place", F.col("base") + F.col("own") - 1).drop("base", "own", "at", "row")
+
+
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """Manifests by the folder that each lies in, which is the document's id."""
     schema = "forms_present array<string>, forms_nothing_to_declare array<string>, segmentation_method string, confidence string"
@@ -72,12 +86,23 @@ class Reloaded:
     def replace(self, df: DataFrame) -> str:
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{version}")
+        return self._count(version)
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> str:
+        """Several tables in one load: all are replaced, parents before children, or none is."""
+        version = uuid.uuid4().hex
+        for name in sorted(tables, key=lambda n: list(SCHEMAS).index(n) if n in SCHEMAS else len(SCHEMAS)):
+            tables[name].write.parquet(f"{self.root}/{version}/{name}")
+        return self._count(version)
+
+    def _count(self, version: str) -> str:
         order = self._versions().agg(F.max("load")).first()[0] if self._exists() else 0
         self.spark.createDataFrame([((order or 0) + 1, version)], "load long, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/_loads")
         return version
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._versions().orderBy(F.desc('load')).first()['version']}")
+    def read(self, name: str = "") -> DataFrame:
+        """The table of the last load; or of that name, of a load of several."""
+        return self.spark.read.parquet(f"{self.root}/{self._versions().orderBy(F.desc('load')).first()['version']}/{name}".rstrip("/"))
 
     def _versions(self) -> DataFrame:
         return self.spark.read.schema("load long, version string").parquet(f"{self.root}/_loads")
