@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from yearbook.llm import queries as Q
-from yearbook.llm.ans import LANES, Table, coded_tokens, read_tokens, write_tokens
+from yearbook.llm.ans import CHECKPOINT, LANES, Table, coded_tokens, read_tokens, write_tokens
 from yearbook.llm.exchange import shared_dir
 from yearbook.llm.packing import Packing, Search, dealt, pack
 from yearbook.llm.tokens import Encoder, tokenizer
@@ -35,13 +35,14 @@ def test_encoder_equals_the_library(text):
     assert n.tolist() == [0, len(ids_of(text)), 1] and ids[:-1].tolist() == ids_of(text)
 
 
-@pytest.mark.parametrize("n", [0, 1, LANES - 1, LANES, 5 * LANES + 3, 200 * LANES + 1])
+@pytest.mark.parametrize("n", [0, 1, LANES - 1, LANES, 5 * LANES + 3, 64 * LANES, 64 * LANES + 1, 200 * LANES + 1, 1300 * LANES + 9])
 def test_ans_round_trip(n):
     r = np.random.default_rng(n)
     ids = np.minimum(r.geometric(0.01, n), 49_407).astype(np.uint32)
     table = Table(np.bincount(ids, minlength=3))
     states, points, stream = table.encode(ids)
     assert (table.decode(n, states, stream) == ids).all()
+    assert (table.decode_block(n, states, points, stream) == ids).all() and len(points) == max(0, -(-n // LANES) - 1) // CHECKPOINT * (16 + 8 * LANES)
     step = 16 + 8 * LANES
     for i in range(0, len(points), step):
         row, place = np.frombuffer(points[i : i + 16], np.uint64).tolist()
