@@ -53,3 +53,12 @@ def test_empty_and_carried(spark):
 def test_query(spark, sf):
     rows = lambda name: [tuple(r)[:2] for r in Q.table(spark, sf, name).collect()]
     assert sorted(tuple(r) for r in Q.queries()["op9_benchmark_decontamination"](spark, sf).collect()) == benchmark(rows("documents"), rows("benchmark"))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    docs, items, _, i = tables(spark)
+    rows = [(None, docs[6][1]), (None, docs[6][1]), (4, docs[13][1]), (4, docs[13][1]), (4, None)]
+    out = contamination(spark.createDataFrame(rows, "doc_id long, text string"), i.unionByName(i))
+    found = [tuple(r) for r in out.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0).collect()]
+    plain = benchmark([(-1 if d is None else d, t) for d, t in rows], [("" if k is None else k, t) for k, t in items])
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in found) == plain

@@ -23,7 +23,8 @@ from .textbytes import parts as batch_parts
 #: Bytes between words, once A-Z is lower-cased.
 GAP = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 #: Bytes of items searched for in one pass over the documents; more are searched in several.
-ITEM_BYTES = 32 << 20
+#: A word of an item is a pattern of ten words, so what is broadcast is some 25 times as much: 100 MB.
+ITEM_BYTES = 4 << 20
 #: Bytes of a lane, and the bits of a shift table's index.
 LANE, TABLE_BITS = 512, 20
 #: Least pattern length and block length of the classes.
@@ -53,16 +54,21 @@ class Laid:
         self.data[np.cumsum(inside[:-1], dtype=np.int8) > 0] = lowered[np.cumsum(source[:-1], dtype=np.int8) > 0]
 
 
-def windows(items: list[tuple[str, bytes]], window: int) -> dict[bytes, tuple[int, set[str]]]:
-    """Patterns: the words in a row of each window, between spaces, to their number and the items."""
-    out: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
+def windows(items: list[tuple[str, bytes]], window: int):
+    """Patterns, the words in a row of each window between spaces, each once; their numbers of words; and for each window its pattern and its item's place."""
+    found: dict[bytes, int] = {}
+    words, pattern, owner = [], [], []
+    for item, (_, text) in enumerate(items):
         laid = Laid([text])
-        words = [laid.data[a:b].tobytes() for a, b in zip(laid.starts, laid.ends)]
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            some = words[i : i + window]
-            out.setdefault(b" " + b" ".join(some) + b" ", (len(some), set()))[1].add(item)
-    return out
+        data, n = laid.data.tobytes(), len(laid.starts)
+        for i in range(max(1, n - window + 1) if n else 0):
+            j = min(i + window, n)
+            k = found.setdefault(data[laid.starts[i] - 1 : laid.ends[j - 1] + 1], len(words))
+            if k == len(words):
+                words.append(j - i)
+            pattern.append(k)
+            owner.append(item)
+    return list(found), np.array(words, np.int64), np.array(pattern, np.int64), np.array(owner, np.int64)
 
 
 class WuManber:
@@ -138,30 +144,44 @@ class WuManber:
 
 
 class Searcher:
-    """All patterns of a set of items."""
+    """All patterns of a set of items: arrays, but for the items' names."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        found = windows(items, window)
-        self.tables, rest = [], list(found)
+        patterns, self.words, pattern, owner = windows(items, window)
+        self.names = [name for name, _ in items]
+        order = np.lexsort((owner, pattern))
+        pattern, owner = pattern[order], owner[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (pattern[1:] != pattern[:-1]) | (owner[1:] != owner[:-1])
+        #: The items of all patterns, pattern after pattern, and where each one's begin and end.
+        self.items = owner[new].astype(np.int32)
+        self.ends = np.searchsorted(pattern[new], np.arange(len(patterns)), "right")
+        self.tables, lens = [], np.array([len(p) for p in patterns], np.int64)
+        rest = np.ones(len(patterns), bool)
         for least, block in CLASSES:
-            some = [p for p in rest if len(p) >= least]
-            rest = [p for p in rest if len(p) < least]
-            if some:
-                self.tables.append((WuManber(some, block), np.array([found[p][0] for p in some]), [found[p][1] for p in some]))
+            own = np.flatnonzero(rest & (lens >= least))
+            rest[own] = False
+            if len(own):
+                self.tables.append((WuManber([patterns[k] for k in own.tolist()], block), own))
+
+    def names_of(self, patterns: np.ndarray) -> set[str]:
+        """The names of the items that have any of the patterns."""
+        some = np.unique(patterns)
+        first = np.append(0, self.ends)[some]
+        return {self.names[k] for k in np.unique(self.items[_spread(first, self.ends[some] - first)]).tolist()}
 
     def search(self, texts: list[bytes]):
-        """Number of words; (first word, number) of every occurrence, and its document's and items."""
+        """The words; (first word, number) of every occurrence, its document and its pattern."""
         laid = Laid(texts)
         data = np.concatenate([laid.data, np.zeros(8, np.uint8)])
-        firsts, counts, items = [], [], []
-        for table, words, names in self.tables:
+        none = np.empty(0, np.int64)
+        firsts, found = [none], [none]
+        for table, own in self.tables:
             at, pattern = table.search(data, len(laid.data))
             firsts.append(np.searchsorted(laid.starts, at + 1))
-            counts.append(words[pattern])
-            items += [names[p] for p in pattern.tolist()]
-        none = np.empty(0, np.int64)
-        first, count = np.concatenate([none, *firsts]), np.concatenate([none, *counts])
-        return laid, first, count, np.searchsorted(laid.last, first, "right"), items
+            found.append(own[pattern])
+        first, pattern = np.concatenate(firsts), np.concatenate(found)
+        return laid, first, self.words[pattern], np.searchsorted(laid.last, first, "right"), pattern
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, item_bytes: int = ITEM_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -190,7 +210,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         def scan(batches, searcher=searcher):
             for batch in batches:
                 for rows, texts in batch_parts(batch, 1):
-                    laid, first, count, doc, names = searcher.value.search(texts)
+                    laid, first, count, doc, pattern = searcher.value.search(texts)
                     runs, found = rows.column(2).to_pylist(), rows.column(3).to_pylist()
                     order = np.argsort(doc, kind="stable")
                     heads = np.flatnonzero(np.diff(doc[order], prepend=-1))
@@ -198,7 +218,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         d, own = int(doc[order[i]]), order[i:j]
                         pairs = np.stack([first[own] - laid.first[d], count[own]], axis=1).astype("<i8")
                         runs[d] = (runs[d] or b"") + np.unique(pairs, axis=0).tobytes()
-                        found[d] = sorted(set(found[d]).union(*(names[k] for k in own.tolist())))
+                        found[d] = sorted(searcher.value.names_of(pattern[own]).union(found[d]))
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(runs, pa.binary()), pa.array(found, pa.list_(pa.string())), rows.column(4)], names=["_doc_id", "_text", "_runs", "_items", "_carry"])
 
         now = now.mapInArrow(scan, now.schema)
