@@ -107,3 +107,34 @@ def base_rules(docs):
         chars = sum(len(x.decode()) for x in w)
         out.append((d, len(w), chars, sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)))
     return sorted(out)
+
+
+def features(text):
+    """The statistics of one text, one by one, in the order of rulefit.FEATURES."""
+    b = raw(text)
+    w = WORD.findall(b)
+    n = len(w)
+    if not n:
+        return [0.0] * 19
+    full = [x for x in b.split(b"\n") if WORD.search(x)]
+    low = [lower(x) for x in w]
+    upper = sum(65 <= x <= 90 for x in b) + sum(b[i] == 0xC3 and 0x80 <= b[i + 1] <= 0x9E for i in range(len(b) - 1))
+    letters = sum(65 <= x <= 90 or 97 <= x <= 122 or x >= 0xC0 for x in b)
+    grams = Counter(tuple(w[i : i + 5]) for i in range(n - 4))
+    again = {j for i in range(n - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    dup = len(full) - len(set(full))
+    by = lambda x, y: x / max(y, 1)
+    own = [
+        sum(len(x.decode()) for x in w), sum(x in b"#*$%&|<>" for x in b), len(again), len(b.decode()), max(Counter(low).values()), sum(x == y for x, y in zip(low, low[1:])),
+        sum(48 <= x <= 57 for x in b), b.count(b"!"), b.count(b"|"), sum(x in b".?!" for x in b), b.count(b","), sum(len(x) <= 3 for x in w), sum(len(x) > 20 for x in w),
+    ]
+    return [float(n), by(len(full), n), by(dup, len(full)), by(upper, letters), by(letters, len(b.decode())), by(len(set(low)), n**0.8), *(by(x, n) for x in own)]
+
+
+def score(x, base, rules, weights):
+    """The chance of label 1: every rule of the model read word by word."""
+    z = base
+    for conditions, weight in zip(rules, weights):
+        if all((x[k] > t) == above for k, above, t in conditions):
+            z += weight
+    return 1 / (1 + 2.718281828459045**-z)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import brute_llm as brute
 from brute_llm import base_rules
 from pyspark.sql import functions as F
 
@@ -75,3 +76,33 @@ def test_few_labels(spark, labels):
     df = spark.createDataFrame(odd(), "doc_id long, text string")
     model = learned(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "quality")
     assert scored(df, model).count() == len(odd())
+
+
+def test_scores_equal_a_plain_reading_of_the_rules(spark, sf):
+    docs, labels = (Q.table(spark, sf, t) for t in ("documents", "labels"))
+    model = learned(docs, labels, "quality")
+    rules = [r.conditions for r in model.rules]
+    assert rules and len(rules) == len(model.weights)
+    expected = {r["doc_id"]: brute.score(brute.features(r["text"]), model.base, rules, model.weights) for r in docs.collect()}
+    got = Q.queries()["op7_quality_classifier"](spark, sf).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_features_equal_plain_ones():
+    texts = [t for _, t in odd()] + ["É Ça \xd7 ÿ ÀB!?.,| #1 " * 9, "Same same SAME\nx\nx"]
+    assert np.allclose(features([(t or "").encode() for t in texts]), [brute.features(t) for t in texts])
+
+
+def test_clashing_columns(spark):
+    # the documents' own columns have the names of statistics, of results and of the operator's inner columns
+    rows = [(d, t, 5.0, 7, "x", 1) for d, t in odd()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words double, score int, carried string, predicted int")
+    model = Model(0.1, [Rule(((0, True, 20.0),))], [1.0])
+    got = scored(df.drop("score", "predicted"), model, carry=("doc_id", "words", "carried")).collect()
+    assert len(got) == len(rows) and {(r["words"], r["carried"]) for r in got} == {(5.0, "x")}
+    assert quality_rules(df.withColumnRenamed("words", "n_words")).count() == len(rows)
+    # with labels of their own, too
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in odd() if d], "doc_id long, quality int")
+    assert scored(df, learned(df.withColumn("quality", F.lit(9)), labels, "quality")).count() == len(rows)
