@@ -1,10 +1,10 @@
 """Suffix-array dedup of byte strings by two-stage sorting.
 
 Only strings that can repeat reach the sort. Every run of `length` bytes holds
-a minimizer (the least hash of its grams of half the length), which depends on
-its bytes alone. The starts in a row that share one minimizer, and lie in the
-same eighth of the length before it, all reach over the same stretch of seven
-eighths of the length: its hash is their key. Starts whose key occurs once in
+a minimizer (the least hash of its words of eight bytes, the first of equal
+ones), which depends on its bytes alone. The starts in a row that share one
+minimizer, and lie in the same eighth of the length before it, all reach over
+the same stretch of seven eighths of the length: its hash is their key. Starts whose key occurs once in
 the corpus are done, and a passage that many texts share is no key unless it is
 nearly as long as the strings sought. The rest travel as segments: such starts
 with the bytes they reach over. Segments of one key meet in one shard. Equal
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .exchange import U64, Chunks, bits, from_bits, from_low_bytes, low_bytes, ranges, runs
 from .textbytes import Buffer, Poly, cover, texts_of
 
-GRAM, SEGMENT, CHECK, KEY = Poly(41), Poly(42), Poly(43), Poly(44)
+SEGMENT, CHECK, KEY = Poly(42), Poly(43), Poly(44)
+#: An odd multiplier: the order of words among which the least is sought.
+ORDER = U64(0x9E3779B97F4A7C15)
 #: Bytes whose minimizers are found at a time; a longer text is a slice by itself.
 SLICE = 1 << 20
 #: Bytes sorted at a time; more only where the segments of one key are more.
@@ -45,31 +47,37 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of a byte string in order of their first `depth` bytes at least.
 
     Suffixes that agree so far may come in any order. An end of the text sorts
-    before every byte."""
+    before every byte. If places are marked as wanted, only their suffixes come,
+    and only those from which they are induced are sorted with them."""
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n) if wanted is None else np.flatnonzero(wanted)
     # stage one: which suffixes are smaller than the next one, decided at the first unequal pair
     step = np.diff(text.astype(np.int16))
     at = np.where(step != 0, np.arange(n - 1), n - 1)
     at = np.minimum.accumulate(at[::-1])[::-1]
     rising = np.zeros(n, bool)
     rising[:-1] = (at < n - 1) & (np.append(step, 0)[at] > 0)
-    direct = _sorted_directly(text, np.flatnonzero(rising), depth)
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        # a suffix that is induced follows from the one after it, up to one that is sorted directly
+        some, stops = np.flatnonzero(wanted), np.append(np.flatnonzero(rising), n - 1)
+        needed = cover(n, some, stops[np.searchsorted(stops, some)] + 1)
+    direct = _sorted_directly(text, np.flatnonzero(rising & needed), depth)
     bucket = text[direct]
     lo, hi = np.searchsorted(bucket, np.arange(256), "left"), np.searchsorted(bucket, np.arange(256), "right")
     # stage two: scan the buckets; a suffix that is not smaller than the scanned one it precedes comes after it
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
-    out = []
+    waiting[text[n - 1]].append(np.flatnonzero(needed[n - 1 :]) + n - 1)
+    induced_ones, out = ~rising & needed, []
 
     def pass_on(scanned: np.ndarray, own: int) -> np.ndarray:
         before = scanned[scanned > 0] - 1
-        before = before[~rising[before]]
+        before = before[induced_ones[before]]
         first = text[before]
         order = np.argsort(first, kind="stable")
         first = first[order]
@@ -86,7 +94,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if hi[c] > lo[c]:
             out.append(direct[lo[c] : hi[c]])
             pass_on(out[-1], c)
-    return np.concatenate(out)
+    order = np.concatenate([np.empty(0, np.int64), *out])
+    return order if wanted is None else order[wanted[order]]
 
 
 def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -144,13 +153,11 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -
 
 def repeated_starts(text: np.ndarray, is_start: np.ndarray, length: int) -> np.ndarray:
     """Which marked starts share their next `length` bytes with another marked start."""
-    order = suffix_array(text, length)
+    order = suffix_array(text, length, is_start)
     shared = common_prefixes(text, order[:-1], order[1:], length)
-    group = np.concatenate([[0], np.cumsum(shared < length)])
-    mine = is_start[order]
-    many = np.bincount(group, weights=mine) > 1
+    group = np.concatenate([[0], np.cumsum(shared < length)])[: len(order)]
     out = np.zeros(len(text), bool)
-    out[order] = many[group] & mine
+    out[order] = (np.bincount(group) > 1)[group]
     return out
 
 
@@ -159,32 +166,34 @@ class _Segments:
 
     def __init__(self, table: pa.Table, length: int):
         self.buffer = b = Buffer(texts_of(table["text"]))
-        gram, eighth = length // 2, length // 8
-        found, width, i = [], length - gram + 1, 0
+        eighth, width = length // 8, length - 7
+        found, i = [], 0
         while i < len(b.lens):
             j = max(i + 1, int(np.searchsorted(b.ends, b.starts[i] + SLICE, "right")))
             first, last = int(b.starts[i]), int(b.ends[j - 1])
-            grams = GRAM.rolling(GRAM.table[b.data[first:last]], gram)
-            value = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
-            least = (minima(value, width) & U64(0xFFFFFFFF)).astype(np.int64)
-            step = np.zeros(len(least) + 1, np.int32)
+            value = np.ndarray((max(0, last - first - 7),), "<u8", b.data, offset=first, strides=(1,)) * ORDER
+            # the upper half of the product decides, then the place
+            value &= U64(0xFFFFFFFF00000000)
+            value |= np.arange(len(value), dtype=U64)
+            # the lower half of each least value is its place
+            anchor = np.ascontiguousarray(minima(value, width).view("<u4")[::2])
+            m = len(anchor)
+            before = (anchor - np.arange(m, dtype=np.uint32)) // np.uint32(eighth)
+            step = np.zeros(m + 1, np.int8)
             n = b.lens[i:j] - length + 1
             at = b.starts[i:j][n > 0] - first
-            step[at] += 1
+            np.add.at(step, at, 1)
             np.add.at(step, at + n[n > 0], -1)
-            whole = np.flatnonzero(np.cumsum(step[:-1]))  # starts with `length` bytes of their text ahead
-            anchor = least[whole]
-            before = np.minimum((anchor - whole) // eighth, gram // eighth - 1)
-            new = np.ones(len(whole), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (before[1:] != before[:-1]) | (whole[1:] != whole[:-1] + 1)
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(whole))
+            whole = np.cumsum(step[:m], dtype=np.int8) > 0  # starts with `length` bytes of their text ahead
+            same = np.zeros(m + 1, bool)
+            same[1:m] = (anchor[1:] == anchor[:-1]) & (before[1:] == before[:-1]) & whole[1:] & whole[:-1]
+            heads, lasts = np.flatnonzero(whole & ~same[:m]), np.flatnonzero(whole & ~same[1:])
             # all windows of the run hold these bytes
-            begin = anchor[heads] - eighth * before[heads] + first
+            begin = anchor[heads].astype(np.int64) - eighth * before[heads].astype(np.int64) + first
             order = np.argsort(begin, kind="stable")
             key = np.empty(len(begin), U64)
-            key[order] = KEY.of_spans(b.data, begin[order], begin[order] + gram + (gram // eighth - 1) * eighth)
-            found.append((whole[heads] + first, tails - heads, key))
+            key[order] = KEY.of_spans(b.data, begin[order], begin[order] + length - eighth + 1)
+            found.append((heads + first, lasts - heads + 1, key))
             i = j
         cat = lambda k, kind: np.concatenate([f[k] for f in found] or [np.empty(0, kind)])
         self.at, self.n, self.key = cat(0, np.int64), cat(1, np.int64), cat(2, U64)
