@@ -56,6 +56,17 @@ def test_empty_table_and_null_ids(spark, case):
     assert sorted((r["doc_id"] is None) for r in out) == [False, True]
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_tasks_with_several_shards(spark, case, monkeypatch):
+    from yearbook.llm import exchange
+
+    monkeypatch.setattr(exchange, "SHARD_BYTES", 4096)
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 4096)
+    monkeypatch.setattr(exchange, "MOST_TASKS", 8)
+    ours, plain, cols = CASES[case]
+    assert got(ours(frame(spark, corpus()).repartition(2)), *cols) == plain(corpus())
+
+
 @pytest.mark.parametrize("query, case", [("op1_substring_dedup", "substring"), ("op10_line_dedup", "lines"), ("op4_suffix_array_dedup", "suffix")])
 def test_queries_on_documents(spark, sf, query, case):
     rows = [(r["doc_id"], r["text"]) for r in Q.table(spark, sf, "documents").collect()]
@@ -67,6 +78,9 @@ def test_queries_on_documents(spark, sf, query, case):
 def test_two_stage_sorting_orders_suffixes(text):
     order = suffix_array(np.frombuffer(text, np.uint8), 600)
     assert [text[i:] for i in order] == sorted(text[i:] for i in range(len(text)))
+    wanted = np.frombuffer(text, np.uint8) % 3 == 1
+    order = suffix_array(np.frombuffer(text, np.uint8), 600, wanted)
+    assert [text[i:] for i in order] == sorted(text[i:] for i in np.flatnonzero(wanted))
 
 
 @settings(max_examples=60, deadline=None)
@@ -111,11 +125,11 @@ def test_chunks_are_bounded_by_bytes_and_rows(spark, monkeypatch):
 
 
 def test_sizes_follow_the_bytes(spark):
-    from yearbook.llm.exchange import MOST_CHUNK, MOST_SHARD, Sizes
+    from yearbook.llm.exchange import MOST_CHUNK, MOST_SHARD, MOST_TASKS, Sizes
 
     for total in (10**8, 5 * 10**8, 3 * 10**10, 10**12, 10**14):
         s = Sizes(spark, total)
-        assert s.chunk <= MOST_CHUNK and total / s.shards <= MOST_SHARD and total / s.buckets <= 128 << 20
+        assert s.chunk <= MOST_CHUNK and total / s.shards <= MOST_SHARD and s.tasks <= max(MOST_TASKS, 8) and s.buckets <= max(MOST_TASKS, 8)
         cells = max(1, total // s.chunk) * s.shards
         assert total / cells >= 100  # bytes of text to a cell
 
@@ -132,3 +146,12 @@ def test_common_prefixes(text, most):
     a, b = order[:-1], order[1:]
     plain = [next((k for k in range(most) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or max(i, j) + k >= len(text)), most) for i, j in zip(a, b)]
     assert common_prefixes(np.frombuffer(text, np.uint8), a, b, most).tolist() == plain
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_texts_are_not_shuffled(spark, case):
+    """The last stage reads the chunks from their buckets; only answers cross the network."""
+    plan = CASES[case][0](frame(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(chunk" in exchanges[0] and "Bucketed: true" in plan
+    assert "text" not in plan[plan.index("Exchange") :].split("\n", 2)[1]

@@ -32,14 +32,26 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("kind", pa.in
 CHUNK_ROWS = 4096
 #: Bytes of text of a chunk, of a shard and of a bucket, for corpora of up to 1024 shards.
 CHUNK_BYTES, SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 128 << 20
-#: The same for the largest corpora.
-MOST_CHUNK, MOST_SHARD = 64 << 20, 256 << 20
+#: The same for the largest corpora; and the tasks of a stage, which then take several shards or chunks, one by one.
+MOST_CHUNK, MOST_SHARD, MOST_TASKS = 64 << 20, 256 << 20, 20_000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards_of(spark: SparkSession, total: int, each: int, most: int) -> tuple[int, int]:
+    """Shards and tasks for so much: `each` to a shard up to 1024 shards, then more of it, up to `most`."""
+    least = max(8, shuffle_partitions(spark))
+    shards = max(least, -(-total // min(max(each, total // 1024), most)))
+    return shards, min(shards, max(least, MOST_TASKS))
+
+
+def by_shard(cells: DataFrame, tasks: int):
+    """Rows grouped by shard: a task has one shard at a time, and several only in the largest corpora."""
+    return cells.withColumn("task", F.col("shard") % tasks).repartitionById(tasks, F.col("task")).groupBy("task", "shard")
+
+
 class Sizes:
     """How a corpus of so many bytes of text is dealt.
 
@@ -50,10 +62,9 @@ class Sizes:
 
     def __init__(self, spark: SparkSession, total: int):
         least = max(8, shuffle_partitions(spark))
-        share = total // 1024
-        self.chunk = min(max(CHUNK_BYTES, share // 4), MOST_CHUNK)
-        self.shards = max(least, -(-total // min(max(SHARD_BYTES, share), MOST_SHARD)))
-        self.buckets = max(least, -(-total // BUCKET_BYTES))
+        self.chunk = min(max(CHUNK_BYTES, total // 4096), MOST_CHUNK)
+        self.shards, self.tasks = shards_of(spark, total, SHARD_BYTES, MOST_SHARD)
+        self.buckets = max(least, min(-(-total // BUCKET_BYTES), MOST_TASKS))
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
@@ -68,7 +79,7 @@ class Chunks:
     def __init__(self, df: DataFrame, text_col: str = "text", total: int | None = None):
         spark = df.sparkSession
         sizes = Sizes(spark, text_bytes(df, text_col) if total is None else total)
-        self.buckets, self.shards = sizes.buckets, sizes.shards
+        self.buckets, self.shards, self.tasks = sizes.buckets, sizes.shards, sizes.tasks
         text, most = df.columns.index(text_col), sizes.chunk
 
         def deal(batches):
@@ -98,16 +109,18 @@ class Chunks:
         spark.sql(f"DROP TABLE {name}")
 
     def send(self, send: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
-        """The cells of a round, a partition a shard. send(table, replies, shards)
-        gives (shard, kind, bytes) of a chunk. Of the table, it sees the columns
-        named, or all."""
+        """The cells of a round. send(table, replies, shards) gives (shard, kind,
+        bytes) of a chunk. Of the table, it sees the columns named, or all."""
         shards = self.shards
 
         def cells(chunk: int, table: pa.Table, got) -> pa.Table:
             rows = list(send(table, got, shards))
             return pa.table([pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(SCHEMA)[1:]))], schema=SCHEMA)
 
-        return self.apply(cells, CELLS, replies, columns).repartitionById(shards, F.col("shard"))
+        return self.apply(cells, CELLS, replies, columns)
+
+    def by_shard(self, cells: DataFrame):
+        return by_shard(cells, self.tasks)
 
     def ask(self, send: Callable, answer: Callable, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
         """One round: answer(list of (chunk, kind, bytes)) gives (chunk, kind, bytes)
@@ -118,7 +131,7 @@ class Chunks:
             rows = list(answer(list(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()))))
             return replied(table["shard"][0].as_py(), rows)
 
-        return written(self.send(send, replies, columns).groupBy("shard").applyInArrow(shard, CELLS))
+        return written(self.by_shard(self.send(send, replies, columns)).applyInArrow(shard, CELLS))
 
     def apply(self, f: Callable, schema: str, replies: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
         """f(chunk, table, replies) for each chunk; replies: {kind: {shard: bytes}}."""

@@ -187,9 +187,8 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     shards = chunks.shards
     cells = written(chunks.send(probes, columns=("doc_id", "text")))
-    by_shard = lambda df: df.repartitionById(shards, F.col("shard")).groupBy("shard")
-    index = written(by_shard(cells).applyInArrow(_built, "shard int, lines binary"))
-    found = written(by_shard(cells).cogroup(by_shard(index)).applyInArrow(_probed, CELLS))
+    index = written(chunks.by_shard(cells).applyInArrow(_built, "shard int, lines binary"))
+    found = written(chunks.by_shard(cells).cogroup(chunks.by_shard(index)).applyInArrow(_probed, CELLS))
 
     def dropped(chunk, table, replies):
         lines = _Lines(table, least)
