@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,26 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, number: str, total: int)
     return spread.unionByName(rows.join(F.broadcast(heavy), key))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For edges between values, (value, smallest value linked to it) for all that are not it."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = inverse[: len(a)], inverse[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    while (root[root] != root).any():
+        root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), root the smallest of its component.
 
