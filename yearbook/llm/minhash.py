@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, lookup
-from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
-from .simhash import _spread, forest, shingled
+from ..operators.graph import components, forest, lookup
+from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
+from .simhash import MOST_KEYS, SHARD_KEYS, _spread, shingled
 from .textbytes import mix, parts
 
 BANDS, ROWS = 40, 4
@@ -103,9 +103,9 @@ def alike(h: np.ndarray, at: np.ndarray, similarity: Fraction) -> tuple[np.ndarr
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes that share a key; nodes: (node, keys)."""
-    n = max(8, shuffle_partitions(nodes.sparkSession))
+def candidates(nodes: DataFrame, count: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect all nodes that share a key; nodes: (node, keys), about so many."""
+    n, tasks = shards_of(nodes.sparkSession, (nodes.count() if count is None else count) * BANDS, SHARD_KEYS, MOST_KEYS)
 
     def cells(batches):
         for batch in batches:
@@ -137,7 +137,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         a, b = forest(first[some], ids[some])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return nodes.select("node", "keys").mapInArrow(cells, "shard int, payload binary").groupBy("shard").applyInArrow(join, "a long, b long")
+    return by_shard(nodes.select("node", "keys").mapInArrow(cells, "shard int, payload binary"), tasks).applyInArrow(join, "a long, b long")
 
 
 def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) -> DataFrame:
@@ -203,7 +203,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = rows.select("digest", first.alias("first")).groupBy("digest").agg(F.min("first").alias("first"))
     nodes = written(least.select(F.col("first.row").alias("node"), "first"))
-    joined = components(candidates(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "keys")))
+    joined = components(candidates(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "keys"), nodes.count()))
     texts = rows.select(F.col("row").alias("node"), F.col(f"carried.`{text_col}`").cast("string").alias("text")).join(joined, "node")
     linked = components(verified(texts, k, similarity, most))
     chosen = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")

@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, lookup
-from .exchange import U64, from_low_bytes, low_bytes, ranges, runs, shuffle_partitions, written
+from ..operators.graph import components, forest, lookup
+from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
 from .textbytes import LOWER, Buffer, mix, parts, words_of
 from .xxh import xxh64
 
 SEGMENTS = (22, 21, 21)
 #: The generator polynomial of the (23, 12) Golay code: a fixed value.
 GENERATOR = 0b101011100011
+#: Keys of a fingerprint, about; keys of a shard, at least and at most (see exchange.shards_of).
+KEYS, SHARD_KEYS, MOST_KEYS = 200, 1 << 18, 1 << 25
 #: Pairs verified at a time.
 PAIRS = 1 << 21
 #: Fingerprints of one key that a shard compares by itself; of more, parts are compared in tasks of their own.
@@ -98,26 +100,6 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.concatenate(places)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For edges between values, (value, smallest value linked to it) for all that are not it."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    while (root[root] != root).any():
-        root = root[root]
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def linked(keys: np.ndarray, prints: np.ndarray, most: int, hot: int = 2**62) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """Links between fingerprints that share a key and differ in `most` bits or fewer, as a forest.
 
@@ -238,6 +220,7 @@ def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
     if most > 4:
         raise ValueError("the keys find pairs of 4 or fewer differing bits")
     n = max(8, shuffle_partitions(classes.sparkSession))
+    shards, tasks = shards_of(classes.sparkSession, classes.count() * KEYS, SHARD_KEYS, MOST_KEYS)
 
     def cells(batches):
         for batch in batches:
@@ -247,11 +230,13 @@ def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
                 keys, places = keys_of(some)
                 order = np.argsort(keys)
                 keys, places = keys[order], places[order].astype("<u2")
-                shards, data = [], []
-                for shard, cut in ranges(keys, n):
-                    shards.append(shard)
-                    data.append(len(some).to_bytes(4, "little") + some.tobytes() + places[cut].tobytes() + low_bytes(keys[cut]))
-                yield pa.record_batch({"shard": pa.array(shards, pa.int32()), "payload": pa.array(data, pa.binary())})
+                own, data = [], []
+                for shard, cut in ranges(keys, shards):
+                    # the fingerprints that have keys here, and each key's place among them
+                    used, place = np.unique(places[cut], return_inverse=True)
+                    own.append(shard)
+                    data.append(len(used).to_bytes(4, "little") + some[used].tobytes() + place.astype("<u2").tobytes() + low_bytes(keys[cut]))
+                yield pa.record_batch({"shard": pa.array(own, pa.int32()), "payload": pa.array(data, pa.binary())})
 
     def link(table: pa.Table) -> pa.Table:
         keys, prints = [], []
@@ -261,8 +246,9 @@ def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
             prints.append(np.frombuffer(data[4:m], U64)[np.frombuffer(data, "<u2", count, m)])
             keys.append(from_low_bytes(data[m + 2 * count :]))
         a, b, large = linked(np.concatenate(keys), np.concatenate(prints), most, hot)
-        shard = table["shard"][0].as_py() << 48  # keys are the 48 low bits within a shard
-        parts = [(shard | key, k, -(-len(p) // hot), p[k * hot : (k + 1) * hot].tobytes()) for key, p in large for k in range(-(-len(p) // hot))]
+        # within a shard a key is its 48 low bits (see low_bytes); if two keys got one name, more would be compared
+        name = lambda key: (table["shard"][0].as_py() * 0x9E3779B97F4A7C15 ^ key) & (2**63 - 1)
+        parts = [(name(key), k, -(-len(p) // hot), p[k * hot : (k + 1) * hot].tobytes()) for key, p in large for k in range(-(-len(p) // hot))]
         none = [None] * len(parts)
         key, part, count, own = (list(c) for c in zip(*parts)) if parts else ([], [], [], [])
         pad = [None] * len(a)
@@ -274,7 +260,7 @@ def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
                 a, b = between(np.frombuffer(x, U64), np.frombuffer(y, U64), most)
                 yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    found = written(classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary").groupBy("shard").applyInArrow(link, "a long, b long, key long, part int, parts int, prints binary"))
+    found = written(by_shard(classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary"), tasks).applyInArrow(link, "a long, b long, key long, part int, parts int, prints binary"))
     edges, large = found.where("key is null").select("a", "b"), found.where("key is not null")
     if large.isEmpty():
         return edges
