@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearbook.llm.exchange import written
 from yearbook.llm.lines import drop_shared_lines
 from yearbook.llm.minhash import one_of_each
 from yearbook.llm.packing import pack
 from yearbook.llm.patterns import contamination
 from yearbook.llm.queries import table, tokenizer_path
 from yearbook.llm.rulefit import learned, scored
+from yearbook.sources.shared import settled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's rows written and read again for the next."""
+    """All stages over `documents`, each one's rows written and read again for the next; what a stage wrote on its way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -200,3 +200,24 @@ def test_hubs_stay_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == n and max(sizes) <= n // 5 and shares(rows, n) == n // 16
     assert met.where("k = -1").agg(F.count("*"), F.min("top"), F.max("top")).first() == (n // 3 + 1, n - 1, n - 1)
+
+
+def test_alike_names(spark, monkeypatch):
+    from yearbook.operators import resolve as R
+
+    r = random.Random(6)
+    words = ["national", "institute", "of", "health", "virology", "Zürich", "日本", "a" * 30, "laboratoire", "centre", "x"]
+    names = [(r.choice("AB"), i, " ".join(sorted(r.choices(words, k=r.randint(1, 7))))) for i in range(220)]
+    names = [(b, i, w[: r.randint(len(w) - 2, len(w))] or "x") for b, i, w in names]
+    expected = {}
+    for block, i, a in names:
+        for other, j, b in names:
+            if block == other and i < j and (score := 200.0 * common_subsequence(a, b) / (len(a) + len(b))) >= 85:
+                expected[i, j] = score
+    assert any(len(names[i][2]) > 64 < len(names[j][2]) for i, j in expected) and len(expected) > 100
+    df = spark.createDataFrame(names, "block string, name_id long, words string")
+    for part in (R.PART, 7):
+        monkeypatch.setattr(R, "PART", part)
+        found = R.alike(df).collect()
+        assert {(x["a"], x["b"]): x["score"] for x in found} == expected and len(found) == len(expected)
+    assert R.alike(df.limit(0)).collect() == []

@@ -43,3 +43,21 @@ def test_registering_needs_no_session(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 50)"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
     assert out.stdout.strip().endswith("True"), out.stderr
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_plans_have_no_products_of_tables(spark, sf, name):
+    """Rows meet by keys. A nested loop is only for a side of one row, of the years, or of what has one given key, and is broadcast."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    # an outer product would keep all rows of both sides
+    assert not any("BroadcastNestedLoopJoin" in line and "FullOuter" in line for line in plan.splitlines())
+
+
+def test_scans_read_what_they_need(spark, sf):
+    plan = QUERIES["event_windows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "event_id" not in plan.split("ReadSchema:")[1].split("\n")[0]
+    plan = spark.read.parquet(f"{sf}/orders.parquet")._jdf.queryExecution().executedPlan().toString()
+    whole = plan.split("ReadSchema:")[1].count(":")
+    plan = QUERIES["clamped_years"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("ReadSchema:")[1].count(":") < whole

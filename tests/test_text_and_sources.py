@@ -119,6 +119,7 @@ def test_streams(spark, sf, tmp_path):
     q = upserted(stream.select("event_id", "value"), str(tmp_path / "out"), str(tmp_path / "mark"), merge).trigger(availableNow=True).start()
     q.awaitTermination()
     last = max(tmp_path.joinpath("out").iterdir(), key=lambda p: int(p.name[1:]))
+    assert len(list(tmp_path.joinpath("out").iterdir())) == 2
     assert spark.read.parquet(str(last)).count() == events.count()
 
 
@@ -171,3 +172,23 @@ def test_default_anchors(spark):
     rows = spark.createDataFrame(names, "place long, country_iso3 string, name string, year int")
     ids = lambda **k: [r["canonical_id"] for r in resolve_entities(rows, **k).orderBy("place").collect()]
     assert ids() == ["CAN_001", "CAN_001", "USA_001", "CAN_002"] and ids(anchors=()) == ["CAN_001", "CAN_002", "USA_001", "CAN_003"] and ids(kind="G") == ["CAN_V001", "CAN_V002", "USA_V001", "CAN_V003"]
+
+
+def test_rows_of_cells(spark):
+    from yearbook.operators.metrics import clustered, request_metrics, run_progress
+
+    cells = [(10.0, 5.0, "b"), (12.0, 1.0, "a"), (22.0, 0.0, "c"), (22.5, 0.0, "d"), (34.6, 9.0, "e")]
+    df = spark.createDataFrame([(cells,), ([],)], "cells array<struct<top:double,x0:double,value:string>>")
+    got = [[[c["value"] for c in row] for row in r["rows"]] for r in df.select(clustered(F.col("cells")).alias("rows")).collect()]
+    assert got == [[["c", "a", "b"], ["d"], ["e"]], []]
+    assert tuple(request_metrics(spark.createDataFrame([], "duration double, status int")).first()) == (0, 0, 0.0, 0.0)
+    assert run_progress(spark.createDataFrame([], "status string, calls int, input_tokens int, output_tokens int"), 5, 1.0, 1.0, 1.0).first()["remaining"] is None
+
+
+def test_described_answers():
+    rows = [{"source": "past_programme", "country_iso3": "USA", "country_name": None, "year": 1999, "has_offensive_programme": True, "has_defensive_programme": True, "offensive_period": None, "defensive_period": "1950-"},
+            {"source": "defence_programme", "country_iso3": "FRA", "country_name": "France", "year": 2001, "programme_name": None, "total_funding_amount": 1234567.6, "total_funding_currency": "EUR"}]
+    assert Q.describe(Q.QuerySpec("defence_programmes"), rows, ("Chad",)) == "USA (1999): past programme, offensive, defensive (1950-); France (2001): unnamed programme, 1,234,568 EUR\nNo public data: Chad."
+    assert Q.funding_phrase(None, "EUR") == "funding not disclosed" and Q.funding_phrase(5, None) == "5"
+    assert Q.describe(Q.QuerySpec("aggregate_stats", bsl=("BSL-4",)), [{"country_iso3": "DEU", "country_name": "Germany", "facility_count": 1, "total_area_m2": 2500.0}, {"country_iso3": "USA", "country_name": None, "facility_count": 1200, "total_area_m2": None}]) == "Germany: 1 facility with 2,500 m²; USA: 1,200 facilities. 1,201 facilities of 2 countries."
+    assert Q.describe(Q.QuerySpec("comparative"), [{"country_iso3": "DEU", "country_name": "Germany", "count": 1, "area_m2": 12.0}]) == "1. Germany: 1 record with 12 m²"

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.similarity import sorted_ratio, sorted_words
+from ..functions.similarity import Names, alike_pairs, alphabet_of, sorted_words
 from ..sources.shared import written
-from .graph import components
+from .graph import components, forest, lookup
 
 #: The least similarity of names, and of names declared in one year.
 THRESHOLD, SAME_YEAR = 85.0, 95.0
@@ -25,19 +28,82 @@ ANCHORS = (("CAN", "National Microbiology Laboratory"), ("CAN", "National Centre
 FORMATS = {"A1": "%s_%03d", "G": "%s_V%03d", "A2": "%s_D%03d"}
 
 
+#: Names of one part; every two parts of like lengths are compared in a task of their own.
+PART = 2048
+
+
+def cells(names: DataFrame, threshold: float) -> DataFrame:
+    """names (block, name_id, words, ...) dealt for comparison: a row for each cell that a name is in, with its side there.
+
+    Two names can reach the threshold only if the longer is at most (200 -
+    threshold) / threshold times as long, so they are in one band of lengths or
+    in neighbouring ones. A band of a block is dealt into parts of about PART
+    names; a cell is two parts of such bands, or one part with itself."""
+    most = (200 - threshold) / threshold
+    banded = names.withColumn("band", F.floor(F.log(F.length("words").cast("double")) / math.log(most)).cast("int"))
+    # a row a block and band
+    counts = written(banded.groupBy("block", "band").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
+    above = counts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = counts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    key = F.xxhash64("block", "band").alias("key")
+    sizes = counts.join(above, ["block", "band"], "left").join(below, ["block", "band"], "left").select(key, "n", "parts", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"))
+    # two bands with one key would only be dealt alike
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("parts", "above", "below")))
+    dealt = lookup(banded.withColumn("key", key), sizes, "key", "n", names.count()).withColumn("part", F.pmod(F.xxhash64("name_id"), F.greatest("parts", F.lit(1))).cast("int"))
+    count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda band, low, high, side: F.struct(band.alias("band"), low.alias("low"), high.alias("high"), side.alias("side"))
+    none = F.lit(-1)
+    own = F.transform(count("parts"), lambda p: F.when(p == F.col("part"), cell(F.col("band") * 2, p, none, F.lit(0))).otherwise(cell(F.col("band") * 2, F.least(p, "part"), F.greatest(p, "part"), (F.col("part") > p).cast("int"))))
+    up = F.transform(count("above"), lambda p: cell(F.col("band") * 2 + 1, F.col("part"), p, F.lit(0)))
+    down = F.transform(count("below"), lambda p: cell(F.col("band") * 2 - 1, p, F.col("part"), F.lit(1)))
+    return dealt.select(*names.columns, F.explode(F.concat(own, up, down)).alias("cell")).select(*names.columns, F.struct("cell.band", "cell.low", "cell.high").alias("cell"), "cell.side")
+
+
+def _compared(table: pa.Table, threshold: float):
+    """The names of a cell, and blocks of (row, row, score) of its pairs that reach the threshold."""
+    words, side = table["words"].to_pylist(), table["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alphabet = alphabet_of(words)
+    a = Names([words[i] for i in left], alphabet)
+    if table["cell"][0].as_py()["high"] < 0:
+        for x, y, score in alike_pairs(a, a, threshold, same=True):
+            yield left[x], left[y], score
+    elif len(right):
+        for x, y, score in alike_pairs(a, Names([words[i] for i in right], alphabet), threshold):
+            yield left[x], right[y], score
+
+
 def alike(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs a < b of distinct names of one block that reach the threshold, with their score.
 
-    names: block, name_id, words (sorted). Two names can reach it only if the
-    longer is at most (200 - threshold) / threshold times as long, so they are
-    in the same or in neighbouring classes of lengths: an equi-join, checked by
-    the exact bound before any name is compared."""
-    most = (200 - threshold) / threshold
-    sized = names.withColumn("n", F.length("words")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(most)).cast("int"))
-    left = sized.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("name_id").alias("a"), F.col("words").alias("words_a"), F.col("n").alias("n_a"))
-    right = sized.select("block", "band", F.col("name_id").alias("b"), F.col("words").alias("words_b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, ["block", "band"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 200 >= (F.col("n_a") + F.col("n_b")) * threshold))
-    return pairs.select("a", "b", sorted_ratio("words_a", "words_b").alias("score")).where(F.col("score") >= threshold)
+    names: block, name_id, words (sorted)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["name_id"].to_numpy()
+        found = [(ids[x], ids[y], score) for x, y, score in _compared(table, threshold)]
+        a, b, score = (np.concatenate([np.empty(0, k), *(f[i] for f in found)]) for i, k in enumerate((np.int64, np.int64, float)))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+
+    return cells(names.select("block", "name_id", "words"), threshold).groupBy("block", "cell").applyInArrow(compare, "a long, b long, score double")
+
+
+def linked(names: DataFrame, threshold: float = THRESHOLD, same_year: float = SAME_YEAR) -> DataFrame:
+    """Edges (a, b) that connect all names of one block whose records link, as a forest of each cell.
+
+    names: block, name_id, words, first, last (years), undated."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["name_id"].to_numpy()
+        dated = ~table["undated"].to_numpy(zero_copy_only=False).astype(bool)
+        first, last = (pc.fill_null(table[c], 0).to_numpy() for c in ("first", "last"))
+        single = dated & (first == last)
+        a = b = np.empty(0, np.int64)
+        for x, y, score in _compared(table, threshold):
+            good = (score >= same_year) | ~(single[x] & single[y] & (first[x] == first[y]))
+            a, b = forest(np.concatenate([a, ids[x[good]]]), np.concatenate([b, ids[y[good]]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells(names.select("block", "name_id", "words", "first", "last", "undated"), threshold).groupBy("block", "cell").applyInArrow(compare, "a long, b long")
 
 
 def resolve_entities(records: DataFrame, kind: str = "A1", anchors: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
@@ -51,12 +117,9 @@ def resolve_entities(records: DataFrame, kind: str = "A1", anchors: tuple[tuple[
     """
     rows = records.select("place", F.coalesce("country_iso3", F.lit("UNK")).alias("block"), F.coalesce("name", F.lit("")).alias("name"), F.nullif("year", F.lit(0)).alias("year")).withColumn("words", sorted_words(F.col("name")))
     named = rows.where("words <> ''")
+    # a row a name: years tell whether two names were declared in one year only, the same
     names = written(named.groupBy("block", "words").agg(F.min("place").alias("name_id"), F.min("year").alias("first"), F.max("year").alias("last"), F.bool_or(F.col("year").isNull()).alias("undated"), F.collect_set(F.lower("name")).alias("spellings")))
-    pairs = alike(names)
-    when = lambda side: names.select(F.col("name_id").alias(side), F.struct("first", "last", "undated").alias(f"{side}_years"))
-    dated = pairs.join(when("a"), "a").join(when("b"), "b")
-    one_year = ~F.col("a_years.undated") & ~F.col("b_years.undated") & (F.col("a_years.first") == F.col("a_years.last")) & (F.col("b_years.first") == F.col("b_years.last")) & (F.col("a_years.first") == F.col("b_years.first"))
-    edges = dated.where((F.col("score") >= SAME_YEAR) | ~F.coalesce(one_year, F.lit(False))).select("a", "b")
+    edges = linked(names)
     for country, text in ANCHORS if anchors is None and kind == "A1" else anchors or ():
         held = names.where((F.col("block") == country) & F.exists("spellings", lambda s: s.contains(text.lower()))).select("name_id")
         first = held.agg(F.min("name_id").alias("a"))

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import written
+
 BASE = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 FORMS = ("A1", "A2", "B", "C", "E", "F", "G")
 CATEGORIES = ("prohibitions", "exports", "imports", "biosafety")
@@ -164,3 +166,12 @@ class Declarations:
         if name.startswith("_"):
             raise AttributeError(name)
         return self._table(f"r_{name}")
+
+
+class Stored(Declarations):
+    """The same, each table written to the shared folder when first asked for, as declarations are in use."""
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._made and name not in BASE:
+            self._made[name] = written(super()._table(name))
+        return super()._table(name)

@@ -28,6 +28,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Declarations(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
 
+def functions() -> dict[str, Callable[[Declarations], DataFrame]]:
+    """The same, of the tables."""
+    _load()
+    return {name: f for name, (f, _) in _QUERIES.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     return {name: with_prelude(sql) for name, (_, sql) in _QUERIES.items() if sql}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import forms
 from ..operators import compliance as K
+from ..operators import metrics as R
 from ..operators import text as T
 from ..sources import catalogue, exports, tables
 from ..sources.shared import shared_dir
@@ -201,3 +202,21 @@ def _reloaded(t):
 
 
 query("reloaded_tables", "SELECT id, year + 1 AS year, 'documents' AS kind FROM r_documents UNION ALL SELECT document_id, year + 1, 'legislation' FROM r_legislation")(_reloaded)
+
+# --- figures of runs, cells of tables ---------------------------------------------
+
+query("request_metrics", """SELECT count(*) AS requests_total, count(*) FILTER (WHERE c_custkey % 10 = 4) AS errors_total, round(avg(CAST(c_custkey % 1000 AS DOUBLE) / 100) * 1000, 1) AS latency_avg_ms, round(max(CAST(c_custkey % 1000 AS DOUBLE) / 100) * 1000, 1) AS latency_max_ms FROM customer""")(
+    lambda t: R.request_metrics(t._base("customer").select(((F.col("c_custkey") % 1000).cast("double") / 100).alias("duration"), F.when(F.col("c_custkey") % 10 == 4, 404).otherwise(200).alias("status")))
+)
+query("run_progress", """WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'skipped' ELSE 'no_form' END AS status, o_orderkey % 3 AS calls, o_orderkey % 1000 AS a, o_orderkey % 100 AS b FROM orders), s AS (
+SELECT count(*) AS done, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'no_form') AS failed, CAST(coalesce(sum(calls) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS calls,
+  CAST(coalesce(sum(a) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(b) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS output_tokens FROM r)
+SELECT *, CAST(input_tokens AS DOUBLE) * 0.25 + CAST(output_tokens AS DOUBLE) * 1.5 AS cost, CAST(60 AS DOUBLE) / done * (1000000 - done) AS remaining FROM s""")(
+    lambda t: R.run_progress(t._base("orders").select(F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "skipped").otherwise("no_form").alias("status"), (F.col("o_orderkey") % 3).alias("calls"), (F.col("o_orderkey") % 1000).alias("input_tokens"), (F.col("o_orderkey") % 100).alias("output_tokens")), 1_000_000, 60.0, 0.25, 1.5)
+)
+query("cell_rows", """WITH c AS (SELECT l_orderkey, list(CAST(l_quantity AS DOUBLE) ORDER BY l_quantity) AS tops FROM lineitem GROUP BY 1),
+h AS (SELECT l_orderkey, len(tops) AS n, list_reduce(list_transform(tops, lambda t: [t]), lambda acc, t: CASE WHEN t[1] - acc[-1] > 12 THEN list_concat(acc, t) ELSE acc END) AS heads FROM c)
+SELECT l_orderkey, CAST(n AS BIGINT) AS cells, array_to_string(list_transform(heads, lambda x: CAST(CAST(x AS INT) AS STRING)), '|') AS heads FROM h""")(
+    lambda t: t._base("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("top"), F.col("l_linenumber").alias("x0"), F.lit("Yes").alias("value"))).alias("cells")).withColumn("rows", R.clustered(F.col("cells")))
+    .select("l_orderkey", F.size(F.flatten("rows")).cast("long").alias("cells"), F.array_join(F.transform("rows", lambda row: F.array_min(F.transform(row, lambda c: c["top"])).cast("int").cast("string")), "|").alias("heads"))
+)

@@ -231,8 +231,31 @@ def _plural(n: int, one: str, many: str) -> str:
     return f"{n:,} {one if n == 1 else many}"
 
 
-def describe(spec: QuerySpec, rows: list[dict]) -> str:
-    """A sentence on at most 200 rows of an answer."""
+def funding_phrase(amount, currency: str | None) -> str:
+    """An amount in whole units and its currency."""
+    return f"{amount:,.0f} {currency or ''}".strip() if amount else "funding not disclosed"
+
+
+def _programme(r: dict) -> str:
+    """A past or current programme in a line."""
+    name = f"{r['country_name'] or r['country_iso3']} ({r['year']})"
+    if r["source"] == "past_programme":
+        kinds = ", ".join(k for k in ("offensive", "defensive") if r.get(f"has_{k}_programme")) or "none declared"
+        return f"{name}: past programme, {kinds} ({r.get('offensive_period') or r.get('defensive_period') or 'unknown period'})"
+    return f"{name}: {r.get('programme_name') or 'unnamed programme'}, {funding_phrase(r.get('total_funding_amount'), r.get('total_funding_currency'))}"
+
+
+def _area(area) -> str:
+    return f" with {area:,.0f} m²" if area else ""
+
+
+def describe(spec: QuerySpec, rows: list[dict], missing: tuple[str, ...] = ()) -> str:
+    """A text on at most 200 rows of an answer, and on countries asked for that have no data."""
+    text = _described(spec, rows)
+    return f"{text}\nNo public data: {', '.join(missing)}." if missing and spec.query_type in HANDLERS else text
+
+
+def _described(spec: QuerySpec, rows: list[dict]) -> str:
     if spec.query_type not in HANDLERS:
         return HELP
     if not rows:
@@ -240,7 +263,12 @@ def describe(spec: QuerySpec, rows: list[dict]) -> str:
     if spec.query_type == "comparative":
         if is_comparison(spec):
             return f"Compare {spec.countries[0]} with {spec.countries[1]} side by side."
-        return "; ".join(f"{i + 1}. {r['country_name'] or r['country_iso3']}: {_plural(r['count'], 'record', 'records')}" for i, r in enumerate(rows))
+        return "; ".join(f"{i + 1}. {r['country_name'] or r['country_iso3']}: {_plural(r['count'], 'record', 'records')}{_area(r.get('area_m2'))}" for i, r in enumerate(rows))
+    if spec.query_type == "defence_programmes":
+        return "; ".join(map(_programme, rows))[:2000]
+    if spec.query_type == "aggregate_stats" and "facility_count" in rows[0]:
+        own = "; ".join(f"{r['country_name'] or r['country_iso3']}: {_plural(r['facility_count'], 'facility', 'facilities')}{_area(r.get('total_area_m2'))}" for r in rows)
+        return f"{own}. {_plural(sum(r['facility_count'] for r in rows), 'facility', 'facilities')} of {_plural(len(rows), 'country', 'countries')}."
     if spec.query_type == "aggregate_stats" and "metric" in rows[0]:
         return "; ".join(f"{r['metric']}: {r['value']:,}" for r in rows)
     if spec.query_type == "submission_history":

@@ -13,15 +13,20 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> D
     return sums.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def upserted(batches: DataFrame, path: str, checkpoint: str, merge):
+def upserted(batches: DataFrame, path: str, checkpoint: str, merge, keep: int = 2):
     """A stream whose batches go through merge(old, batch) into versions of a table at path.
 
     Every batch writes a version of its own, so a batch that runs again after a
-    lost executor replaces the same one."""
+    lost executor replaces the same one. The last `keep` versions stay, two at
+    least: the one that readers have and the one that it came from."""
+    if keep < 2:
+        raise ValueError("a batch that runs again needs the version before its own")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - keep}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
