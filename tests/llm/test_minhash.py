@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from brute_llm import WORD, lower, raw
 
-from yearbook.llm.minhash import keys_of, one_of_each
+from yearbook.llm.minhash import band_keys
+from yearbook.llm.simhash import one_of_each
 
 
 def shingles(text, k=5):
@@ -58,7 +59,7 @@ def test_edited_copies(spark, most):
 def test_candidates_at_the_similarity():
     r = np.random.default_rng(8)
     sets = [np.concatenate([c, x]) for c in r.integers(0, 2**64, (3000, 80), np.uint64) for x in (r.integers(0, 2**64, 10, np.uint64), r.integers(0, 2**64, 10, np.uint64))]
-    keys = keys_of(np.concatenate(sets), np.arange(6001) * 90)
+    keys = band_keys(np.concatenate(sets), np.arange(6001) * 90)
     same = (keys[::2] == keys[1::2]).sum(axis=1)
     assert (same > 0).all() and abs(same.mean() / 40 - 0.8**4) < 0.02
 

@@ -1,10 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles.
+"""Sets of shingles: bands that find candidates beyond fingerprints' reach, and exact similarity.
 
 A text is the set of its shingles, as 64-bit hashes. Candidates share a band of
 ROWS minhashes, any of BANDS: two sets of similarity s miss each other with
 probability (1 - s**ROWS)**BANDS, 7e-10 at 0.8. Bands meet in shards of their
-hashed range, which send on a spanning forest only. The candidates that it
-joins are then verified: the exact similarity of every pair of one such group
+hashed range, which send on a spanning forest only. The candidates that edges
+join are then verified: the exact similarity of every pair of one such group
 decides, so that what candidates are joined by costs work and never a result.
 """
 
@@ -17,21 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, forest, lookup
+from ..operators.graph import forest, lookup
 from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
-from .simhash import MOST_KEYS, SHARD_KEYS, _spread, shingled
+from .shingles import _spread, shingled
 from .textbytes import mix, parts
 
 BANDS, ROWS = 40, 4
+#: Keys of a shard, at least and at most (see exchange.shards_of).
+SHARD_KEYS, MOST_KEYS = 1 << 18, 1 << 25
 #: Odd multipliers, each the order of one minhash.
 ORDERS = np.random.default_rng(5).integers(0, 2**64, (BANDS, ROWS), U64) | U64(1)
 #: Shingles of a group that are compared in one task; of more, every two parts are compared in tasks of their own.
 GROUP = 1 << 21
 
 
-def sets_of(texts: list[bytes], k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, ascending, one text after the other; and where each begins, and the end."""
-    h, count = shingled(texts, k, seed)
+def sets_of(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, ascending, one text after the other; and where each begins, and the end. h is sorted in place."""
     ends = np.cumsum(count)
     for i, j in zip((ends - count).tolist(), ends.tolist()):
         h[i:j].sort()
@@ -42,7 +43,7 @@ def sets_of(texts: list[bytes], k: int, seed: int = 42) -> tuple[np.ndarray, np.
     return h[new], np.concatenate([[0], total[ends]])
 
 
-def keys_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The keys of the bands of each set, a row a set; sets are not empty."""
     out = np.empty((len(at) - 1, BANDS), U64)
     for band, orders in enumerate(ORDERS):
@@ -147,7 +148,7 @@ def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) ->
     def shingles(batches):
         for batch in batches:
             for rows, some in parts(batch, 2):
-                h, at = sets_of(some, k)
+                h, at = sets_of(*shingled(some, k, 42))
                 yield pa.record_batch({"node": rows.column(0), "root": rows.column(1), "n": pa.array(np.diff(at), pa.int64()), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
     sets = written(texts.select("node", "root", "text").mapInArrow(shingles, "node long, root long, n long, shingles binary"))
@@ -171,40 +172,3 @@ def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) ->
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.select("node", "root", "shingles", "part", "parts", other).select(cell, "node", "root", "shingles").groupBy("cell").applyInArrow(compare, "a long, b long")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, most: int = GROUP) -> DataFrame:
-    """The rows of docs, all columns, but of each group of near duplicates only the one with the smallest id.
-
-    Whole texts link if the Jaccard similarity of their sets of k-word shingles
-    is at or over `similarity`, and a group is all that links lead to. Words and
-    shingles are those of simhash.fingerprints: a text of fewer words is one
-    shingle, and those without words, or null, are equal. A row with an id goes
-    before one without; of rows with equal ids any one stays. An empty table
-    gives an empty result."""
-
-    def keyed(batches):
-        for batch in batches:
-            for rows, texts in parts(batch, 1):
-                h, at = sets_of(texts, k)
-                has = np.flatnonzero(np.diff(at))
-                start = at[:-1][has]
-                digest, keys = np.zeros((len(texts), 2), U64), np.empty((0, BANDS), U64)
-                if len(has):
-                    for i, salt in enumerate((0, 0x9E3779B97F4A7C15)):
-                        digest[has, i] = np.add.reduceat(mix(h ^ U64(salt)), start)
-                    keys = keys_of(h, np.append(start, len(h)))
-                at = np.concatenate([[0], np.cumsum(BANDS * (np.diff(at) > 0))])
-                yield pa.record_batch({"doc_id": rows.column(0), "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64))), "carried": rows.column(2)})
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in docs.columns)).alias("carried"))
-    made = source.mapInArrow(keyed, f"doc_id long, digest binary, keys array<long>, carried {source.schema['carried'].dataType.simpleString()}")
-    rows = written(made.withColumn("row", F.monotonically_increasing_id()))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = rows.select("digest", first.alias("first")).groupBy("digest").agg(F.min("first").alias("first"))
-    nodes = written(least.select(F.col("first.row").alias("node"), "first"))
-    joined = components(candidates(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "keys"), nodes.count()))
-    texts = rows.select(F.col("row").alias("node"), F.col(f"carried.`{text_col}`").cast("string").alias("text")).join(joined, "node")
-    linked = components(verified(texts, k, similarity, most))
-    chosen = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")
-    return rows.join(chosen, "row", "left_semi").select(*(F.col(f"carried.`{c}`") for c in docs.columns))

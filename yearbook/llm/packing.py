@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import written
-from .simhash import _spread
+from .shingles import _spread
 from .textbytes import parts
 from .tokens import encoder
 

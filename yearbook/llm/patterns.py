@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import U64
-from .simhash import _spread
+from .shingles import _spread
 from .textbytes import LOWER, Buffer, byte_set, cover, spans
 from .textbytes import parts as batch_parts
 

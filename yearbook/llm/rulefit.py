@@ -183,7 +183,10 @@ def held_out(id_col: str) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """A model fitted on at most about fit_rows labelled texts, chosen by a hash of their ids."""
+    """A model fitted on at most about fit_rows labelled texts, chosen by a hash of their ids.
+
+    Only the ids, the label and the texts are read, whatever other columns there
+    are; null ids and labels are left out; of repeated rows each counts."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     total = rows.count()
     if total > fit_rows:
@@ -199,6 +202,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[s
 
     Every row is scored, whole text; a null or empty text by statistics that
     are all 0; repeated rows one by one; an empty table gives an empty result.
+    Other columns are ignored, and those carried may be called like a statistic:
+    they travel in a struct. score and predicted are the results' own names.
     """
     out = with_features(docs, text_col, carry).withColumn("_score", model.column())
     return out.select(*(F.col(f"carried.`{c}`") for c in carry), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, forest, lookup
 from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
-from .textbytes import LOWER, Buffer, mix, parts, words_of
-from .xxh import xxh64
+from .minhash import BANDS, GROUP, MOST_KEYS, SHARD_KEYS, band_keys, candidates, sets_of, verified
+from .shingles import _spread, majority, shingled
+from .textbytes import mix, parts
 
 SEGMENTS = (22, 21, 21)
 #: The generator polynomial of the (23, 12) Golay code: a fixed value.
 GENERATOR = 0b101011100011
-#: Keys of a fingerprint, about; keys of a shard, at least and at most (see exchange.shards_of).
-KEYS, SHARD_KEYS, MOST_KEYS = 200, 1 << 18, 1 << 25
+#: Keys of a fingerprint, about.
+KEYS = 200
 #: Pairs verified at a time.
 PAIRS = 1 << 21
 #: Fingerprints of one key that a shard compares by itself; of more, parts are compared in tasks of their own.
@@ -149,12 +150,6 @@ def between(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.nda
     return a, b
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... as many as counted, one after the other."""
-    total = np.cumsum(counts)
-    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fingerprint (long) and the struct `carried`, of the columns named
     in carry, of every whole text.
@@ -167,50 +162,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def prints(batches):
         for batch in batches:
             for rows, texts in parts(batch, 1):
-                yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(of_texts(texts, k, seed).view(np.int64)), "carried": rows.column(2)})
+                yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(majority(*shingled(texts, k, seed)).view(np.int64)), "carried": rows.column(2)})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
     return source.mapInArrow(prints, f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")
 
 
-def shingled(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all shingles, in the order of the texts, and how many each text has."""
-    buffer = Buffer(texts)
-    starts, ends = words_of(buffer)
-    first, last = buffer.counts(starts)
-    lens = ends - starts
-    step = np.zeros(len(buffer.data) + 1, np.int8)
-    step[starts] += 1
-    step[ends + 1] -= 1
-    data = LOWER[buffer.data]
-    data[ends] = 0x20
-    data = data[np.cumsum(step[:-1], dtype=np.int8) > 0]  # all words, a space after each
-    at = np.cumsum(lens + 1) - lens - 1
-    words = last - first
-    shingles = np.where(words > 0, np.maximum(words - k + 1, 1), 0)
-    begin = _spread(first, shingles)
-    end = np.minimum(begin + k, np.repeat(last, shingles)) - 1
-    return xxh64(data, at[begin], at[end] + lens[end], seed), shingles
-
-
-def of_texts(texts: list[bytes], k: int, seed: int) -> np.ndarray:
-    h, shingles = shingled(texts, k, seed)
-    out = np.zeros(len(texts), U64)
-    has = np.flatnonzero(shingles)
-    total = np.cumsum(shingles)
-    weight = U64(1) << np.arange(64, dtype=U64)
-    i = 0
-    while i < len(has):  # some 200,000 shingles at a time
-        j = max(i + 1, int(np.searchsorted(total[has], (total[has[i - 1]] if i else 0) + 200_000, "right")))
-        some = has[i:j]
-        lo = total[some] - shingles[some]
-        bits = np.unpackbits(h[lo[0] : total[some[-1]]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count = np.add.reduceat(bits, lo - lo[0], axis=0, dtype=np.int32)
-        out[some] = ((2 * count > shingles[some, None]) * weight).sum(axis=1, dtype=U64)
-        i = j
-    return out
-
-
 def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within `most` (4 or fewer) bits of each other.
 
@@ -294,3 +251,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a component may have any share of the fingerprints, and a fingerprint any share of the rows
     ids = written(lookup(placed, named, "root", "m", placed.count()).select("fingerprint", "component_id", "n"))
     return lookup(prints, ids, "fingerprint", "n", prints.count()).select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 4, most: int = GROUP) -> DataFrame:
+    """The rows of docs, all columns, but of each group of near duplicates only the one with the smallest id.
+
+    Whole texts link if the Jaccard similarity of their sets of k-word shingles
+    is at or over `similarity`, and a group is all that links lead to. Candidates
+    are fingerprints of k-word shingles within `bits` (linked by Golay keys) and,
+    as similar texts may differ in more bits than any such keys reach, texts that
+    share a band of minhashes; the exact similarity decides on both. Words and
+    shingles are those of simhash.fingerprints: a text of fewer words is one
+    shingle, and those without words, or null, are equal. A row with an id goes
+    before one without; of rows with equal ids any one stays. An empty table
+    gives an empty result."""
+
+    def keyed(batches):
+        for batch in batches:
+            for rows, texts in parts(batch, 1):
+                h, count = shingled(texts, k, 42)
+                prints = majority(h, count)
+                h, at = sets_of(h, count)
+                has = np.flatnonzero(np.diff(at))
+                start = at[:-1][has]
+                digest, keys = np.zeros((len(texts), 2), U64), np.empty((0, BANDS), U64)
+                if len(has):
+                    for i, salt in enumerate((0, 0x9E3779B97F4A7C15)):
+                        digest[has, i] = np.add.reduceat(mix(h ^ U64(salt)), start)
+                    keys = band_keys(h, np.append(start, len(h)))
+                at = np.concatenate([[0], np.cumsum(BANDS * (np.diff(at) > 0))])
+                yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(prints.view(np.int64)), "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64))), "carried": rows.column(2)})
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in docs.columns)).alias("carried"))
+    made = source.mapInArrow(keyed, f"doc_id long, fingerprint long, digest binary, keys array<long>, carried {source.schema['carried'].dataType.simpleString()}")
+    rows = written(made.withColumn("row", F.monotonically_increasing_id()))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = rows.select("digest", first.alias("first")).groupBy("digest").agg(F.min("first").alias("first"))
+    nodes = written(least.select(F.col("first.row").alias("node"), "first"))
+    keyed_nodes = written(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fingerprint", "keys"))
+    # of equal fingerprints, one node stands for all
+    alike = written(keyed_nodes.groupBy("fingerprint").agg(F.min("node").alias("one"), F.count("*").alias("n")))
+    same = lookup(keyed_nodes.select("node", "fingerprint"), alike, "fingerprint", "n", nodes.count()).select(F.col("node").alias("a"), F.col("one").alias("b"))
+    golay = written(links(alike.select("fingerprint"), bits))
+    for side, name in (("a", "x"), ("b", "y")):
+        # a forest's root may be the end of any share of its edges
+        ends = alike.select(F.col("fingerprint").alias(side), F.col("one").alias(name)).join(golay.groupBy(side).agg(F.count("*").alias("n")), side)
+        golay = written(lookup(golay, ends, side, "n", golay.count()))
+    golay = golay.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    bands = candidates(keyed_nodes.select("node", "keys"), nodes.count())
+    joined = components(same.unionByName(golay).unionByName(bands))
+    texts = rows.select(F.col("row").alias("node"), F.col(f"carried.`{text_col}`").cast("string").alias("text")).join(joined, "node")
+    linked = components(verified(texts, k, similarity, most))
+    chosen = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(chosen, "row", "left_semi").select(*(F.col(f"carried.`{c}`") for c in docs.columns))
