@@ -192,3 +192,21 @@ def test_described_answers():
     assert Q.funding_phrase(None, "EUR") == "funding not disclosed" and Q.funding_phrase(5, None) == "5"
     assert Q.describe(Q.QuerySpec("aggregate_stats", bsl=("BSL-4",)), [{"country_iso3": "DEU", "country_name": "Germany", "facility_count": 1, "total_area_m2": 2500.0}, {"country_iso3": "USA", "country_name": None, "facility_count": 1200, "total_area_m2": None}]) == "Germany: 1 facility with 2,500 m²; USA: 1,200 facilities. 1,201 facilities of 2 countries."
     assert Q.describe(Q.QuerySpec("comparative"), [{"country_iso3": "DEU", "country_name": "Germany", "count": 1, "area_m2": 12.0}]) == "1. Germany: 1 record with 12 m²"
+
+
+def test_a_step_leaves_its_result_alone(spark):
+    import os
+
+    from yearbook.sources.shared import settled, written
+
+    inner = []
+
+    def step():
+        inner.append(written(spark.range(5)))
+        return inner[0].selectExpr("id + 1 AS id")
+
+    before = written(spark.range(2))
+    out = settled(spark, step)
+    folder = lambda df: os.path.dirname(df.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+    assert sorted(r["id"] for r in out.collect()) == [1, 2, 3, 4, 5] and before.count() == 2
+    assert os.path.isdir(folder(out)) and not os.path.isdir(folder(inner[0]))
