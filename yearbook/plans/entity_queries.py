@@ -46,9 +46,9 @@ query("upsert_documents", """SELECT id, CASE WHEN year >= 2000 THEN concat(coale
 
 
 def _groups(t):
-    """Facilities whose number ends in 1 go into those that end in 0, unless these are missing."""
+    """Facilities whose number ends in 1 go into a given one, there or not; one group has a keeper to look for, and none is."""
     ids = t.facilities.select("canonical_facility_id")
-    return ids.where("canonical_facility_id like '%1'").select(F.col("canonical_facility_id").alias("old"), F.lit("XAP_000").alias("keeper"), F.lit("Merged").alias("name")).union(t.spark.createDataFrame([("XAU_002", "none", "x")], "old string, keeper string, name string"))
+    return ids.where("canonical_facility_id like '%1'").select(F.col("canonical_facility_id").alias("old"), F.lit("XAP_000").alias("keeper"), F.lit("Merged").alias("name"), F.lit(True).alias("given")).union(t.spark.createDataFrame([("XAU_002", "none", "x", False)], "old string, keeper string, name string, given boolean"))
 
 
 query("merge_dimension", f"""
