@@ -28,7 +28,7 @@ def moved_away(sf, tmp_path_factory):
     return str(home)
 
 
-@pytest.mark.parametrize("name", ["merge_dimension"])
+@pytest.mark.parametrize("name", ["merge_dimension", "merge_facts"])
 def test_same_rows_without_the_given_entity(spark, moved_away, name):
     con = duckdb.connect()
     for t in BASE:
