@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import QUERIES, SQL, comparable
 
 from yearbook.operators import mutate as M
@@ -28,7 +29,7 @@ def moved_away(sf, tmp_path_factory):
     return str(home)
 
 
-@pytest.mark.parametrize("name", ["merge_dimension", "merge_facts", "merge_plan"])
+@pytest.mark.parametrize("name", ["merge_dimension", "merge_facts", "merge_plan", "split_dimension"])
 def test_same_rows_without_the_given_entity(spark, moved_away, name):
     con = duckdb.connect()
     for t in BASE:
@@ -53,3 +54,19 @@ def test_plan_says_what_merge_does(spark):
     groups = spark.createDataFrame([("a", "gone", "N", True), ("b", "lost", "N", False), ("x", "gone", "N", True), ("a", "b", "N", None)], "old string, keeper string, name string, given boolean")
     got = sorted((r["old"], r["keeper"], r["action"]) for r in M.merge_plan(dimension, groups).collect())
     assert got == [("a", "b", "merge"), ("a", "gone", "merge"), ("b", "lost", "skip: no keeper"), ("x", "gone", "nothing to merge")]
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_split_of_a_missing_source(spark, given):
+    dimension = spark.createDataFrame([("a", "A", ["A"], [2000])], DIMENSION)
+    facts = spark.createDataFrame([("a", 2000, "x")], FACTS)
+    out, moved = M.split(dimension, facts, "gone", "new", "New", F.col("city") == "x", given=given)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "A", ["A"], [2000]), ("new", "New", ["New"], None)][: 1 + given]
+    assert [r["canonical_facility_id"] for r in moved.collect()] == ["a"]
+
+
+def test_given_split_without_facts_to_move(spark):
+    dimension = spark.createDataFrame([("a", "A", ["A"], [2000])], DIMENSION)
+    facts = spark.createDataFrame([("a", 2000, "x")], FACTS)
+    out = M.split(dimension, facts, "a", "new", "New", F.col("city") == "y", given=True)[0]
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "A", ["A"], [2000]), ("new", "New", ["New"], None)]

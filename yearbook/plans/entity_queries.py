@@ -61,7 +61,7 @@ FROM r_facilities WHERE canonical_facility_id NOT IN (FROM m)""")(
 )
 query("merge_facts", "SELECT id, CASE WHEN canonical_facility_id LIKE '%1' THEN 'XAP_000' ELSE canonical_facility_id END AS canonical_facility_id FROM r_facility_years")(lambda t: M.merge(t.facilities, t.facility_years, _groups(t))[1].select("id", "canonical_facility_id"))
 query("merge_plan", "SELECT canonical_facility_id AS old, 'XAP_000' AS keeper, 'merge' AS action FROM r_facilities WHERE canonical_facility_id LIKE '%1' UNION ALL SELECT 'XAU_002', 'none', 'skip: no keeper'")(lambda t: M.merge_plan(t.facilities, _groups(t)))
-_split = lambda t: M.split(t.facilities, t.facility_years, "XAP_000", "XAP_900", "Annex", F.col("facility_name").contains("Annex"))
+_split = lambda t: M.split(t.facilities, t.facility_years, "XAP_000", "XAP_900", "Annex", F.col("facility_name").contains("Annex"), given=True)
 query("split_dimension", f"""
 WITH f AS (SELECT CASE WHEN canonical_facility_id = 'XAP_000' AND facility_name LIKE '%Annex%' THEN 'XAP_900' ELSE canonical_facility_id END AS k, year FROM r_facility_years),
 d AS (SELECT canonical_facility_id, canonical_name, all_names FROM r_facilities UNION ALL SELECT 'XAP_900', 'Annex', ['Annex'])
