@@ -106,7 +106,7 @@ def capacity_top_n(capacity: DataFrame, n: int = 8) -> DataFrame:
     cells = named.select("year", F.when(F.col("top"), F.col("country_iso3")).otherwise("OTHER").alias("series"), "total_bsl4_area_m2").groupBy("year", "series").agg(F.sum(F.col("total_bsl4_area_m2").cast("decimal(20,2)")).cast("double").alias("area"))
     # years times series: at most n + 1 rows a year
     live = cells.groupBy("series").agg(F.sum("area").alias("all")).where("all > 0 or series <> 'OTHER'").select("series")
-    grid = capacity.select("year").distinct().crossJoin(live)
+    grid = live.crossJoin(F.broadcast(capacity.select("year").distinct()))
     return grid.join(cells, ["year", "series"], "left").select("year", "series", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
