@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import CELLS, U64, Chunks, bits, from_bits, ranges, replied, written
+from .memory import freed
 from .substring import ids_of
 from .textbytes import LOWER, Buffer, Poly, byte_set, kept_pieces, mix, spans, texts_of, words_of
 
@@ -187,8 +188,8 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     shards = chunks.shards
     cells = written(chunks.send(probes, columns=("doc_id", "text")))
-    index = written(chunks.by_shard(cells).applyInArrow(_built, "shard int, lines binary"))
-    found = written(chunks.by_shard(cells).cogroup(chunks.by_shard(index)).applyInArrow(_probed, CELLS))
+    index = written(chunks.by_shard(cells).applyInArrow(lambda t: freed(_built(t)), "shard int, lines binary"))
+    found = written(chunks.by_shard(cells).cogroup(chunks.by_shard(index)).applyInArrow(lambda c, i: freed(_probed(c, i)), CELLS))
 
     def dropped(chunk, table, replies):
         lines = _Lines(table, least)

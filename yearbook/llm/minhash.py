@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import forest, lookup
 from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
+from .memory import freed, freeing
 from .shingles import _spread, shingled
 from .textbytes import mix, parts
 
@@ -138,7 +139,7 @@ def candidates(nodes: DataFrame, count: int | None = None) -> DataFrame:
         a, b = forest(first[some], ids[some])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return by_shard(nodes.select("node", "keys").mapInArrow(cells, "shard int, payload binary"), tasks).applyInArrow(join, "a long, b long")
+    return by_shard(nodes.select("node", "keys").mapInArrow(freeing(cells), "shard int, payload binary"), tasks).applyInArrow(lambda t: freed(join(t)), "a long, b long")
 
 
 def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) -> DataFrame:
@@ -151,7 +152,7 @@ def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) ->
                 h, at = sets_of(*shingled(some, k, 42))
                 yield pa.record_batch({"node": rows.column(0), "root": rows.column(1), "n": pa.array(np.diff(at), pa.int64()), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
-    sets = written(texts.select("node", "root", "text").mapInArrow(shingles, "node long, root long, n long, shingles binary"))
+    sets = written(texts.select("node", "root", "text").mapInArrow(freeing(shingles), "node long, root long, n long, shingles binary"))
     total = sets.groupBy("root").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"), F.count("*").alias("sets"))
     dealt = lookup(sets, total, "root", "sets", sets.count()).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # each part meets each other one; groups of one part share cells
@@ -171,4 +172,4 @@ def verified(texts: DataFrame, k: int, similarity: float, most: int = GROUP) ->
             b.append(nodes[i:j][y])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.select("node", "root", "shingles", "part", "parts", other).select(cell, "node", "root", "shingles").groupBy("cell").applyInArrow(compare, "a long, b long")
+    return dealt.select("node", "root", "shingles", "part", "parts", other).select(cell, "node", "root", "shingles").groupBy("cell").applyInArrow(lambda t: freed(compare(t)), "a long, b long")

@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import written
+from .memory import freeing
 from .shingles import _spread
 from .textbytes import parts
 from .tokens import encoder
@@ -243,7 +244,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str,
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "own_rank"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, own_rank long"
+        freeing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, own_rank long"
     )
 
 
@@ -273,4 +274,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_
             yield pa.record_batch([*(b.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     joined = cut.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "own_rank", "before")
-    return joined.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return joined.mapInArrow(freeing(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import U64
+from .memory import freeing
 from .shingles import _spread
 from .textbytes import LOWER, Buffer, byte_set, cover, spans
 from .textbytes import parts as batch_parts
@@ -221,7 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         found[d] = sorted(searcher.value.names_of(pattern[own]).union(found[d]))
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(runs, pa.binary()), pa.array(found, pa.list_(pa.string())), rows.column(4)], names=["_doc_id", "_text", "_runs", "_items", "_carry"])
 
-        now = now.mapInArrow(scan, now.schema)
+        now = now.mapInArrow(freeing(scan), now.schema)
 
     def count_hits(batches):
         for batch in batches:
@@ -235,4 +236,4 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), rows.column(3), rows.column(4)], names=["doc_id", "n_words", "n_hit", "items", "_carry"])
 
     carried = next(f.dataType for f in now.schema if f.name == "_carry")
-    return now.mapInArrow(count_hits, f"doc_id long, n_words long, n_hit long, items array<string>, _carry {carried.simpleString()}").withColumnRenamed("_carry", "carried")
+    return now.mapInArrow(freeing(count_hits), f"doc_id long, n_words long, n_hit long, items array<string>, _carry {carried.simpleString()}").withColumnRenamed("_carry", "carried")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import freeing
 from .stats import BASE, MORE, Texts
 from .textbytes import parts
 
@@ -48,7 +49,7 @@ def with_features(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...
                 yield pa.RecordBatch.from_arrays([rows.column(1), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["carried", *FEATURES])
 
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
-    return source.mapInArrow(measure, f"carried {source.schema['carried'].dataType.simpleString()}, {', '.join(f'{n} double' for n in FEATURES)}")
+    return source.mapInArrow(freeing(measure), f"carried {source.schema['carried'].dataType.simpleString()}, {', '.join(f'{n} double' for n in FEATURES)}")
 
 
 @dataclass(frozen=True)

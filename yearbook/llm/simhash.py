@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, forest, lookup
 from .exchange import U64, by_shard, from_low_bytes, low_bytes, ranges, runs, shards_of, shuffle_partitions, written
+from .memory import freed, freeing
 from .minhash import BANDS, GROUP, MOST_KEYS, SHARD_KEYS, band_keys, candidates, sets_of, verified
 from .shingles import _spread, majority, shingled
 from .textbytes import mix, parts
@@ -165,7 +166,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(majority(*shingled(texts, k, seed)).view(np.int64)), "carried": rows.column(2)})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in carry)).alias("carried"))
-    return source.mapInArrow(prints, f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")
+    return source.mapInArrow(freeing(prints), f"doc_id long, fingerprint long, carried {source.schema['carried'].dataType.simpleString()}")
 
 
 def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
@@ -217,14 +218,14 @@ def links(classes: DataFrame, most: int = 4, hot: int = HOT) -> DataFrame:
                 a, b = between(np.frombuffer(x, U64), np.frombuffer(y, U64), most)
                 yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    found = written(by_shard(classes.select("fingerprint").repartition(n).mapInArrow(cells, "shard int, payload binary"), tasks).applyInArrow(link, "a long, b long, key long, part int, parts int, prints binary"))
+    found = written(by_shard(classes.select("fingerprint").repartition(n).mapInArrow(freeing(cells), "shard int, payload binary"), tasks).applyInArrow(lambda t: freed(link(t)), "a long, b long, key long, part int, parts int, prints binary"))
     edges, large = found.where("key is null").select("a", "b"), found.where("key is not null")
     if large.isEmpty():
         return edges
     left = large.select("key", "part", F.col("prints").alias("x"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"))
     right = large.select("key", F.col("part").alias("other"), F.col("prints").alias("y"))
     pairs = left.join(right, ["key", "other"]).repartition(n, "key", "part", "other").select("x", "y")
-    return edges.unionByName(pairs.mapInArrow(compare, "a long, b long"))
+    return edges.unionByName(pairs.mapInArrow(freeing(compare), "a long, b long"))
 
 
 def grouped(prints: DataFrame, most: int) -> DataFrame:
@@ -283,7 +284,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch({"doc_id": rows.column(0), "fingerprint": pa.array(prints.view(np.int64)), "digest": pa.array([x.tobytes() for x in digest], pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel().view(np.int64))), "carried": rows.column(2)})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_none"), *(F.col(c) for c in docs.columns)).alias("carried"))
-    made = source.mapInArrow(keyed, f"doc_id long, fingerprint long, digest binary, keys array<long>, carried {source.schema['carried'].dataType.simpleString()}")
+    made = source.mapInArrow(freeing(keyed), f"doc_id long, fingerprint long, digest binary, keys array<long>, carried {source.schema['carried'].dataType.simpleString()}")
     rows = written(made.withColumn("row", F.monotonically_increasing_id()))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = rows.select("digest", first.alias("first")).groupBy("digest").agg(F.min("first").alias("first"))
